@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language_id, line_dedup, near_dup, packing, quality_fm, sharding
+from quarry.llm import decontaminate, language_id, line_dedup, near_dup, packing, quality_fm, quality_rules, secrets, sharding
 from quarry.llm.common import table
 
 
@@ -21,6 +21,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("reasons")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -35,6 +39,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
+    base = secrets.spelled(F.filter("spans", lambda x: x["kind"] < len(secrets.BASE)))
+    return found.select(
+        "doc_id", *(of(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.BASE)), F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans")
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,5 +71,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op3_language_id, op5_quality_classifier, op7_simhash, op8_line_dedup, op9_packing, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_language_id, op5_quality_classifier, op6_secrets, op7_simhash, op8_line_dedup, op9_packing, op10_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle_sql()}
