@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language_id, line_dedup, near_dup, packing, quality_fm, quality_rules, secrets, sharding
+from quarry.llm import decontaminate, language_id, line_dedup, near_dup, packing, preferences, quality_fm, quality_rules, secrets, sharding
 from quarry.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = preferences.stale_reply_pairs(table(spark, sf_dir, "conversations"))
+    return preferences.format_pairs(turns).withColumnRenamed("pair", "conv_id")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -71,5 +76,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_language_id, op5_quality_classifier, op6_secrets, op7_simhash, op8_line_dedup, op9_packing, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle_sql()}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_language_id, op4_preference_format, op5_quality_classifier, op6_secrets, op7_simhash, op8_line_dedup, op9_packing, op10_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle_sql(), "op4_preference_format": preferences.oracle_sql(), "op8_line_dedup": line_dedup.oracle_sql()}
