@@ -121,9 +121,9 @@ def oracle_sql(min_docs: int = 10, min_chars: int = 1) -> str:
     key = "translate(regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-lines AS (SELECT rid, doc_id, line, at, {key} AS k FROM (SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM docs)),
+lines AS (SELECT rid, doc_id, line, pos, {key} AS k FROM (SELECT rid, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM docs)),
 often AS (SELECT k FROM lines WHERE length(k) >= {min_chars} GROUP BY k HAVING count(DISTINCT rid) >= {min_docs}),
 marked AS (SELECT l.*, o.k IS NOT NULL AS gone FROM lines l LEFT JOIN often o ON l.k = o.k)
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY rid, doc_id"""
