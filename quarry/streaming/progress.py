@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 TERMINAL = ["completed", "failed", "skipped"]
 LEDGER = "task string, state string, started_at timestamp, ended_at timestamp, events bigint"
@@ -45,7 +46,7 @@ def run_to_table(stream: DataFrame, folder: str, *, mode: str = "append") -> Dat
         batch.withColumn("batch_", F.lit(n)).write.mode("overwrite").parquet(f"{out}/data/batch={n:09d}")
 
     writer.foreachBatch(put).outputMode(mode).start().awaitTermination()
-    got = spark.read.schema(schema.add("batch_", "int")).parquet(f"{out}/data/batch=*")
+    got = spark.read.schema(StructType([*schema.fields, StructField("batch_", IntegerType())])).parquet(f"{out}/data/batch=*")
     if mode == "complete":
         got = got.join(got.agg(F.max("batch_").alias("batch_")), "batch_", "left_semi")  # one row
     return got.select(*schema.names)
