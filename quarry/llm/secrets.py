@@ -25,6 +25,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SAMPLE = 5_000
 #: Log-likelihood ratio a character from which a candidate counts as random.
 MARGIN = 0.5
+#: Transitions that the single characters' shares count for in each row.
+PRIOR = 10.0
 _SIZE = len(ALPHABET) + 1  # 0: the start of a string
 
 
@@ -67,8 +69,12 @@ def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
     counted = cells(random, 1).unionByName(cells(ordinary, 0)).groupBy("label", "cell").agg(F.count("*").alias("n"))
     table = {(r["label"], r["cell"]): r["n"] for r in counted.collect()}
     out = []
-    row = {(label, a): sum(table.get((label, a * _SIZE + b), 0) for b in range(_SIZE)) for label in (0, 1) for a in range(_SIZE)}
-    p = lambda label, a, b: (table.get((label, a * _SIZE + b), 0) + 0.5) / (row[label, a] + 0.5 * _SIZE)
+    n = lambda label, a, b: table.get((label, a * _SIZE + b), 0)
+    row = {(label, a): sum(n(label, a, b) for b in range(_SIZE)) for label in (0, 1) for a in range(_SIZE)}
+    all_ = {(label, b): sum(n(label, a, b) for a in range(_SIZE)) + 0.5 for label in (0, 1) for b in range(_SIZE)}
+    size = {label: sum(all_[label, b] for b in range(_SIZE)) for label in (0, 1)}
+    # a rare character's row leans on how often each character stands anywhere
+    p = lambda label, a, b: (n(label, a, b) + PRIOR * all_[label, b] / size[label]) / (row[label, a] + PRIOR)
     for a in range(_SIZE):
         for b in range(_SIZE):
             out.append(log(p(1, a, b)) - log(p(0, a, b)))

@@ -8,7 +8,24 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, ranked, written
 
-_ARRIVALS = 1024  # buckets of arrivals; a shard admits whole buckets
+_ARRIVALS = 64  # buckets of arrivals; a shard admits whole buckets
+
+
+def admitted(asked: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """How many may move between each two shards: as many as change places, and
+    beyond that what the room allows, where a departure makes room too."""
+    out = {(s, t): min(n, asked.get((t, s), 0)) for (s, t), n in asked.items()}
+    changed = True
+    while changed:
+        changed = False
+        for (s, t), n in sorted(asked.items()):
+            more = min(n - out[s, t], room[t])
+            if more > 0:
+                out[s, t] += more
+                room[t] -= more
+                room[s] += more
+                changed = True
+    return out
 
 
 def propagate(nodes: DataFrame, edges: DataFrame, shards: int, capacity: int, *, rounds: int = 10) -> DataFrame:
@@ -16,11 +33,11 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int, capacity: int, *,
 
     Nodes start in pseudo-random shards. In each round a node that has more
     neighbours in another shard than in its own asks to move there; a random
-    half may, so that neighbours don't swap places for ever. A shard that would
-    grow beyond ``capacity`` admits the first buckets of arrivals in a random
-    order. Only counts by shard and bucket reach the driver (at most
-    1024 * shards). It ends when no node asks, none is admitted twice running, or
-    after ``rounds``.
+    half may, so that neighbours don't swap places for ever. Between any two
+    shards as many move one way as the other, and more while a shard has fewer than
+    ``capacity``; who moves is decided by whole buckets of a random order. Only
+    counts by shard, shard and bucket reach the driver (at most 64 * shards^2).
+    It ends when no node asks, none is admitted twice running, or after ``rounds``.
     """
     state = written(nodes.select("node", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard")))
     idle = 0
@@ -39,19 +56,24 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int, capacity: int, *,
         if asks.isEmpty():
             break
         load = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}
-        gate = {s: 0 for s in range(shards)}
-        room = {s: capacity - load.get(s, 0) for s in range(shards)}
-        closed: set[int] = set()
-        for r in asks.where("turn").groupBy("to", "bucket").count().orderBy("to", "bucket").collect():
-            s = r["to"]
-            if s not in closed and r["count"] <= room[s]:
-                room[s], gate[s] = room[s] - r["count"], r["bucket"] + 1
+        flows = asks.where("turn").groupBy("shard", "to", "bucket").count().orderBy("bucket").collect()
+        asked: dict[tuple[int, int], int] = {}
+        for r in flows:
+            asked[r["shard"], r["to"]] = asked.get((r["shard"], r["to"]), 0) + r["count"]
+        left = admitted(asked, {s: capacity - load.get(s, 0) for s in range(shards)})
+        gate = [0] * (shards * shards)
+        closed: set[tuple[int, int]] = set()
+        for r in flows:
+            way = r["shard"], r["to"]
+            if way not in closed and r["count"] <= left[way]:
+                left[way] -= r["count"]
+                gate[r["shard"] * shards + r["to"]] = r["bucket"] + 1
             else:
-                closed.add(s)
-        limit = F.element_at(F.array(*(F.lit(gate[s]) for s in range(shards))), F.col("to") + 1)
+                closed.add(way)
+        limit = F.element_at(F.from_json(F.lit(str(gate)), "array<int>"), F.col("shard") * shards + F.col("to") + 1)
         moves = asks.where("turn").where(F.col("bucket") < limit).select("node", "to")
         after = written(state.join(moves, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")))
-        idle = idle + 1 if not any(gate.values()) else 0
+        idle = idle + 1 if not any(gate) else 0
         discard(state)
         state = after
         if idle == 2:
