@@ -20,6 +20,8 @@ BASE = {
 MIN_VALUE = 6
 #: What the models look at: unbroken runs of the characters of keys.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Candidates that are taken for ordinary in training: words of small letters. Others are still to be judged and teach nothing.
+IDENTIFIER = r"^[a-z]+([+/_=-]+[a-z]+)*$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Of ordinary text, this many documents or so train: a hash of the id picks them.
 SAMPLE = 5_000
@@ -87,7 +89,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mar
 
     Labelled samples: the values and keys of the base matches in all documents
     (random), and the words of about ``sample`` documents outside of base
-    matches (ordinary). The models look at every run of key characters that
+    matches and candidates (ordinary). The models look at every run of key characters that
     no base match overlaps. If no base match exists they have nothing to learn from, and
     add nothing. Null and empty texts have no spans. Repeated ids are rows of their own.
     """
@@ -102,7 +104,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mar
     total = rows.count()
     drawn = named.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(1, total))) + 1)
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", BASE["assign"], " "), BASE["access"], " "), BASE["hex"], " ")
-    ordinary = drawn.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s"))
+    runs = drawn.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s"))
+    ordinary = runs.where(~F.col("s").rlike(f"^{CANDIDATE}$") | F.col("s").rlike(IDENTIFIER))
     ratio = F.from_json(F.lit(str(train(random, ordinary))), "array<double>")
     likely = lambda s: F.aggregate(pairs(s), F.lit(0.0), lambda x, c: x + F.element_at(ratio, c + 1)) / F.length(s)
     none = F.array().cast(rows.schema["tried"].dataType)
