@@ -87,12 +87,12 @@ def go_mod(files: DataFrame, content: str = "content") -> DataFrame:
     A block keyword rules the lines up to the closing parenthesis: the last
     keyword line at or before a line decides, found by a window over the file's own lines.
     """
-    own = lines(files, content).withColumn("t", F.btrim(F.regexp_replace("line_text", r"//.*$", "")))
+    own = lines(files, content).withColumn("t", F.btrim(F.regexp_replace("line_text", r"//.*$", ""), F.lit(" \t\r")))
     opening = F.regexp_extract("t", r"^(require|replace|exclude|retract)\s*\($", 1)
     mark = F.when(opening != "", opening).when(F.col("t") == ")", "none")
     block = F.last(mark, ignorenulls=True).over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
     kind = F.coalesce(F.nullif(F.regexp_extract("t", r"^(module|go|toolchain|require|replace|exclude|retract)\s", 1), F.lit("")), F.when(block != "none", block), F.lit("gap"))
-    read = own.withColumn("kind", kind).withColumn("rest", F.btrim(F.regexp_replace("t", r"^(module|go|toolchain|require|replace|exclude|retract)\s+", "")))
+    read = own.withColumn("kind", kind).withColumn("rest", F.btrim(F.regexp_replace("t", r"^(module|go|toolchain|require|replace|exclude|retract)\s+", ""), F.lit(" \t\r")))
     items = read.where((F.col("t") != "") & mark.isNull())
     package, version = F.regexp_extract("rest", r"^(\S+)", 1), F.nullif(F.regexp_extract("rest", r"^\S+\s+(.+)$", 1), F.lit(""))
     return items.select("path", "line", F.when((F.col("kind") == "require") & version.isNull(), "gap").otherwise(F.col("kind")).alias("kind"), package.alias("package"), version.alias("version"))
