@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -19,16 +21,17 @@ from pyspark.sql import functions as F
 from quarry.llm.common import ranked, written
 
 END = 2
-_CACHE = 200_000  # spellings whose ids a worker remembers
+_CACHE = 500_000  # spellings whose ids a worker remembers: about 110 MB
+_LONG = 64  # characters; longer spellings are not remembered
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-class Encoder(dict):
+class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pattern starts a new pre-token at every space that stands
-    before something else than white space, so a text may be cut there and
-    the parts encoded one by one: most are words that were met before. A text
-    with three spaces in a row goes to the tokenizer as a whole.
+    between two characters other than white space, so a text may be cut there
+    and the parts encoded one by one: most are words that were met before.
     """
 
     def __init__(self, path: str):
@@ -37,25 +40,26 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}  # no subclass of dict: set.difference() would then walk all of it
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, parts: list[str]) -> None:
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self[part] = np.asarray(e.ids, dtype="<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
-        if "   " in text:
-            return self.whole(text)
-        first, *rest = text.split(" ")
+        first, *rest = _CUT.split(text)
         parts = [first, *map(" ".__add__, rest)]
-        new = {*parts}.difference(self)
-        if new and len(self) + len(new) > _CACHE:
-            self.clear()
+        new = {*parts}.difference(self.known)
+        if new and len(self.known) + len(new) > _CACHE:
+            self.known.clear()
             new = {*parts}
-        self.learn(list(new))
-        return b"".join(map(self.__getitem__, parts))
+        fresh = list(new)
+        for part, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            self.known[part] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        out = b"".join(map(self.known.__getitem__, parts))
+        for part in fresh:
+            if len(part) > _LONG:
+                del self.known[part]
+        return out
 
 
 def pieces_of(ids: bytes, size: int) -> list[tuple[int, int]]:
