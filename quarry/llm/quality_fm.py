@@ -175,18 +175,20 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     The weights of the classes restore their shares among all labelled
     rows. The driver gets the features of the sample (at most 4,096 a
-    document), never a text. Null labels and ids are left out; labels without a document
+    document), never a text. The drawn ids, about
+    twice ``sample`` whatever the corpus, are broadcast. Null labels and ids are left out; a
+    repeated label counts once; labels without a document
     and documents without a label don't count. With one class or none the model
     scores all alike: 1, 0, or without any label 0.5.
     """
-    y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("y"))
+    y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("y")).distinct()
     rows = {r["y"]: r["count"] for r in y.groupBy("y").count().collect()}
     share = F.when(F.col("y"), min(1.0, sample / max(1, rows.get(True, 0)))).otherwise(min(1.0, sample / max(1, rows.get(False, 0))))
     drawn = y.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
     chars = F.col(chars_col).cast("long") if chars_col in docs.columns else F.lit(None).cast("long")
     mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), chars.alias("n"))
     sparse = F.arrow_udf(_sparse, "struct<cols:array<int>,vals:array<float>,stats:array<double>>")
-    got = mine.join(drawn, "id").select("id", "y", sparse("text", "n").alias("f")).select("id", "y", "f.*").toArrow()
+    got = mine.join(F.broadcast(drawn), "id").select("id", "y", sparse("text", "n").alias("f")).select("id", "y", "f.*").toArrow()
     got = got.sort_by([("id", "ascending"), ("y", "ascending")])
     labels_ = np.array(got.column("y").to_pylist(), dtype=np.float32)
     flat = Model(float(np.clip((rows.get(True, 0) - rows.get(False, 0)) * 1e9, -40, 40)), np.zeros(WORDS + len(STATS)), np.zeros((WORDS + len(STATS), RANK)), np.zeros(len(STATS)), np.ones(len(STATS)))
