@@ -299,6 +299,14 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0), tokenizer_path=tokenizer_path()).count() == 0
 
 
+def test_encoder_cuts_where_the_tokenizer_does():
+    encoder, rng = packing.Encoder(tokenizer_path()), random.Random(1)
+    parts = ["a", "B", "é", "7", " ", "  ", "\n", "\t", "'s", "'", "!", "\x1c", "\x85", "\u3000", "<|endoftext|>", "語", "\r", "\x00", "w" * 70]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+        assert encoder.encode(t) == encoder.whole(t), repr(t)
+
+
 def test_plan_places_every_piece():
     rng = random.Random(6)
     for _ in range(20):
