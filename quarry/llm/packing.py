@@ -9,7 +9,6 @@ from __future__ import annotations
 import bisect
 import os
 import re
-import struct
 import zlib
 from collections import defaultdict
 
@@ -21,17 +20,20 @@ from pyspark.sql import functions as F
 from quarry.llm.common import ranked, written
 
 END = 2
-_CACHE = 500_000  # spellings whose ids a worker remembers: about 110 MB
+_KEPT = 500_000  # spellings a worker meets before it forgets those of the time before: about 210 MB for both
 _LONG = 64  # characters; longer spellings are not remembered
+_BLOCK = 1 << 20  # characters handled at once
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_ODD = re.compile(r"\s | \s|\A | \Z")
 
 
 class Encoder:
     """Texts to ids, as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pattern starts a new pre-token at every space that stands
-    between two characters other than white space, so a text may be cut there
-    and the parts encoded one by one: most are words that were met before.
+    between two characters other than white space, so a text may be cut there:
+    most parts are words that were met before. The others go to the tokenizer
+    in one string, whose ids are dealt out by the bytes that each stands for.
     """
 
     def __init__(self, path: str):
@@ -40,26 +42,75 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        spelled = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(spelled.values()) + 1, dtype=np.int64)
+        self.bytes_of[list(spelled.values())] = [len(x) for x in spelled]  # a character stands for a byte
         self.known: dict[str, bytes] = {}  # no subclass of dict: set.difference() would then walk all of it
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        first, *rest = _CUT.split(text)
-        parts = [first, *map(" ".__add__, rest)]
-        new = {*parts}.difference(self.known)
-        if new and len(self.known) + len(new) > _CACHE:
-            self.known.clear()
-            new = {*parts}
-        fresh = list(new)
-        for part, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[part] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        out = b"".join(map(self.known.__getitem__, parts))
-        for part in fresh:
-            if len(part) > _LONG:
-                del self.known[part]
-        return out
+        return self._whole([text])[0]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _dealt(self, words: list[str]) -> list[bytes]:
+        """The ids of each word after a space."""
+        raw = self.whole(f" {' '.join(words)}")
+        ends = np.cumsum(self.bytes_of[np.frombuffer(raw, dtype="<u4")])
+        at = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in words]), side="right") * 4
+        return [raw[a:b] for a, b in zip([0, *at.tolist()], at.tolist(), strict=False)]
+
+    def _look_up(self, words: set[str]) -> list[str]:
+        """Make all these words known; returns those too long to be kept."""
+        if len(self.known) > _KEPT:
+            self.before, self.known = self.known, {}
+        fresh = []
+        for w in words.difference(self.known):
+            ids = self.before.get(w)
+            if ids is None:
+                fresh.append(w)
+            else:
+                self.known[w] = ids
+        for at in range(0, len(fresh), 8192):
+            some = fresh[at : at + 8192]
+            self.known.update(zip(some, self._dealt(some), strict=True))
+        return [w for w in fresh if len(w) > _LONG]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        firsts: list[tuple[int, str]] = []
+        n = 0
+
+        def flush() -> None:
+            nonlocal n
+            for (i, _), ids in zip(firsts, self._whole([f for _, f in firsts]), strict=True):
+                out[i].append(ids)
+            long = self._look_up({w for _, words in held for w in words})
+            for i, words in held:
+                out[i].extend(map(self.known.__getitem__, words))
+            for w in long:
+                del self.known[w]
+            held.clear()
+            firsts.clear()
+            n = 0
+
+        for i, text in enumerate(texts):
+            at = 0
+            while at < len(text) or not at:
+                cut = _CUT.search(text, at + _BLOCK)
+                part = text[at : cut.start()] if cut else text[at:]
+                words = _CUT.split(part) if _ODD.search(part) else part.split(" ")
+                if not at:
+                    firsts.append((i, words.pop(0)))
+                held.append((i, words))
+                n += len(part)
+                at = cut.end() if cut else len(text) + 1
+                if n >= _BLOCK:
+                    flush()
+        flush()
+        return [b"".join(x) for x in out]
 
 
 def pieces_of(ids: bytes, size: int) -> list[tuple[int, int]]:
@@ -92,8 +143,7 @@ def pieces_column(text: Column, tokenizer_path: str, size: int, with_ids: bool)
         encode = _encoders[tokenizer_path].encode
         end = np.asarray([END], dtype="<u4").tobytes()
         rows = []
-        for t in texts:
-            ids = encode(t.as_py() or "") + end
+        for ids in (x + end for x in encode([t or "" for t in texts.to_pylist()])):
             rows.append([])
             for k, (start, length) in enumerate(pieces_of(ids, size)):
                 own = ids[4 * start : 4 * (start + length)]

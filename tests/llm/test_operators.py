@@ -302,9 +302,19 @@ def test_packing(spark, docs):
 def test_encoder_cuts_where_the_tokenizer_does():
     encoder, rng = packing.Encoder(tokenizer_path()), random.Random(1)
     parts = ["a", "B", "é", "7", " ", "  ", "\n", "\t", "'s", "'", "!", "\x1c", "\x85", "\u3000", "<|endoftext|>", "語", "\r", "\x00", "w" * 70]
-    for _ in range(3000):
-        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
-        assert encoder.encode(t) == encoder.whole(t), repr(t)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+
+
+@pytest.mark.parametrize(("block", "kept"), [(1, 0), (7, 5), (1000, 20)])
+def test_encoder_by_blocks_and_with_little_memory(monkeypatch, block, kept):
+    monkeypatch.setattr(packing, "_BLOCK", block)
+    monkeypatch.setattr(packing, "_KEPT", kept)
+    encoder, rng = packing.Encoder(tokenizer_path()), random.Random(2)
+    parts = ["ab ", " c", "é", "7", " ", "\n", "!", "語 ", "w" * 70]
+    for _ in range(20):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(20)]
+        assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
 
 
 def test_plan_places_every_piece():
