@@ -82,12 +82,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     never name it, unless they are all it has (component_id null). An empty
     table gives no rows. Other columns of ``docs`` are not read.
     """
-    prints = written(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words_per_shingle).alias("fp")))
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("rep")))
-    found = components(written(links(nodes, radius)))
-    classes = written(
-        nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    prints = written(
+        docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words_per_shingle).alias("fp"))
     )
+    nodes = written(prints.groupBy("fp").agg(F.min("row").alias("rep"), F.min("id").alias("name")))
+    found = components(written(links(nodes, radius))).withColumnRenamed("node", "rep")
+    named = written(nodes.join(found, "rep", "left").select("fp", "name", F.coalesce("component", "rep").alias("class")))
+    names = named.groupBy("class").agg(F.min("name").alias("component_id"))
+    classes = written(named.join(names, "class").select("fp", "component_id"))
     return prints.join(classes, "fp", "left").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
