@@ -74,6 +74,34 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+def similar_sets(left: DataFrame, right: DataFrame, least: float, salts: int = 16) -> DataFrame:
+    """``left(a, x)``, ``right(b, y)`` of distinct tokens -> every ``(a, b, overlap)`` with a
+    Jaccard of ``least`` (above 0) or more; null and repeated ids are rows like any other.
+
+    Two such sets share a token among the first ``n - ceil(least * n) + 1`` of each, in any one order.
+    Here tokens of over 1 % of the right sets come last, so that few sets meet at them; they
+    are salted too. Their number is at most 100 times the mean size of a right set.
+    """
+    total = right.agg(F.count("*").alias("total"))
+    counts = right.select(F.explode("y").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    often = counts.crossJoin(F.broadcast(total)).where("n * 100 > total").select(F.struct("n", "token").alias("o"))
+    hot = F.broadcast(often.agg(F.transform(F.sort_array(F.collect_list("o")), lambda o: o["token"]).alias("hot")))
+
+    def prefixes(sets: DataFrame, key: str, tokens: str, size: str) -> DataFrame:
+        rare = F.sort_array(F.array_except(tokens, "hot"))
+        n = F.size(tokens)
+        kept = n - F.ceil(n * least - 1e-9).cast("int") + 1
+        ordered = sets.where(n > 0).crossJoin(hot).select(key, n.alias(size), F.size(rare).alias("rare"), F.slice(F.concat(rare, F.array_intersect("hot", tokens)), F.lit(1), kept).alias("prefix"))
+        return ordered.select(key, size, "rare", F.posexplode("prefix").alias("pos", "token")).withColumn("salts", F.when(F.col("pos") >= F.col("rare"), salts).otherwise(1)).drop("pos", "rare")
+
+    one = prefixes(left, "a", "x", "size_a").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).drop("salts")
+    other = prefixes(right, "b", "y", "size_b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    close = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * least - 1e-9
+    pairs = one.join(other, ["token", "salt"]).where(close).select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()
+    both = pairs.join(left, F.col("id_a").eqNullSafe(F.col("a"))).join(right, F.col("id_b").eqNullSafe(F.col("b")))
+    return both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("overlap")).where(F.col("overlap") >= least)
+
+
 def normal_title(title: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
 

@@ -160,3 +160,11 @@ def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "documents").select(F.col("doc_id").alias("a"), D.tokens(F.col("text")).alias("x"))
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("b"), D.tokens(F.col("text")).alias("y"))
     return a.join(b, F.col("a") % 40 == F.col("b") % 40).select("a", "b", D.jaccard(F.col("x"), F.col("y")).alias("overlap"))
+
+
+@query()
+def token_jaccard_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents against all benchmark items. No SQL: it would list every pair."""
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("a"), D.tokens(F.col("text")).alias("x"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("b"), D.tokens(F.col("text")).alias("y"))
+    return D.similar_sets(a, b, 0.65)
