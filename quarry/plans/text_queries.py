@@ -31,6 +31,12 @@ def file_lines(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).where("doc_id % 20 = 3 AND length(line_text) > 40").select("path", "line", "line_text")
 
 
+@query(f"WITH {LINES_SQL} SELECT path, line::INT AS line, line_text FROM lines")
+def all_file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every document."""
+    return _lines(spark, d).select("path", "line", "line_text")
+
+
 @query(f"""WITH {LINES_SQL} SELECT doc_id, line::INT AS line, (coalesce(sum(strlen(line_text) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, strlen(line_text)::INT AS bytes FROM lines""")
 def line_offset_index(spark: SparkSession, d: str) -> DataFrame:
     return X.line_offsets(files(spark, d), "doc_id")
