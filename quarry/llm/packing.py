@@ -45,6 +45,8 @@ class Encoder:
         spelled = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(spelled.values()) + 1, dtype=np.int64)
         self.bytes_of[list(spelled.values())] = [len(x) for x in spelled]  # a character stands for a byte
+        self.added = {t.content: np.asarray([i], dtype="<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.literals = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
         self.known: dict[str, bytes] = {}  # no subclass of dict: set.difference() would then walk all of it
         self.before: dict[str, bytes] = {}
 
@@ -112,6 +114,14 @@ class Encoder:
         flush()
         return [b"".join(x) for x in out]
 
+    def encode_default(self, texts: list[str]) -> list[bytes]:
+        """As the tokenizer's default call, which recognises added tokens within a text."""
+        if self.literals is None or not any(map(self.literals.search, texts)):
+            return self.encode(texts)
+        parts = [self.literals.split(t) for t in texts]  # text, added token, text and so on
+        ids = iter(self.encode([x for p in parts for x in p[::2]]))
+        return [b"".join(self.added[x] if k % 2 else next(ids) for k, x in enumerate(p)) for p in parts]
+
 
 def pieces_of(ids: bytes, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of so many ids: the first may be short."""
@@ -140,7 +150,7 @@ def pieces_column(text: Column, tokenizer_path: str, size: int, with_ids: bool)
     def pieces(texts: pa.Array) -> pa.Array:
         if tokenizer_path not in _encoders:
             _encoders[tokenizer_path] = Encoder(tokenizer_path)
-        encode = _encoders[tokenizer_path].encode
+        encode = _encoders[tokenizer_path].encode_default
         end = np.asarray([END], dtype="<u4").tobytes()
         rows = []
         for ids in (x + end for x in encode([t or "" for t in texts.to_pylist()])):
