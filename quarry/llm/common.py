@@ -7,7 +7,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +72,18 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``most`` bytes of a column's text: what a
+    worker makes of a slice doesn't grow with the rows that Spark sends at once.
+    A single longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        past = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, past - at)
+        at = past
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is. lower() is the fast way for a text
     of ASCII only; translate() leaves the letters beyond it alone."""

@@ -11,34 +11,64 @@ import os
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ranked, written
+from quarry.llm.common import byte_slices, ranked, written
 
 END = 2
-_KEPT = 500_000  # spellings a worker meets before it forgets those of the time before: about 210 MB for both
+_KEPT = 1_000_000  # spellings after which a task forgets and starts anew: about 30 MB
 _LONG = 64  # characters; longer spellings are not remembered
 _BLOCK = 1 << 20  # characters handled at once
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s|\A | \Z")
+#: Letters and marks whose pre-tokens are plain to see. The apostrophe, which starts contractions, is not among them.
+_LETTERS = [range(0x41, 0x5B), range(0x61, 0x7B), range(0xC0, 0xD7), range(0xD8, 0xF7), range(0xF8, 0x250), range(0x400, 0x482), range(0x48A, 0x530)]
+_MARKS = [range(0x21, 0x27), range(0x28, 0x30), range(0x3A, 0x41), range(0x5B, 0x61), range(0x7B, 0x7F)]
+_OTHER, _LETTER, _MARK, _DIGIT, _FEED, _BLANK, _SPACE = range(7)
+_TOP = 0x3001  # no white space from here on
+_rng = np.random.default_rng(9)
+_LOW, _HIGH, _PLACE = (_rng.integers(1 << 64, size=n, dtype=np.uint64) for n in (1 << 12, 1 << 9, _LONG))
+
+
+def _classes() -> np.ndarray:
+    out = np.full(_TOP + 1, _OTHER, dtype=np.uint8)
+    out[[c for c in range(_TOP) if chr(c).isspace()]] = _SPACE
+    for kind, ranges in ((_LETTER, _LETTERS), (_MARK, _MARKS), (_DIGIT, [range(0x30, 0x3A)]), (_FEED, [range(10, 11)]), (_BLANK, [range(32, 33)])):
+        for r in ranges:
+            out[r.start : r.stop] = kind
+    return out
+
+
+_CLASS = _classes()
+
+
+def _repeated(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, count of them, for each start."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 class Encoder:
-    """Texts to ids, as little-endian unsigned 32-bit bytes.
+    """Texts to ids.
 
     The vocabulary's pattern starts a new pre-token at every space that stands
-    between two characters other than white space, so a text may be cut there:
-    most parts are words that were met before. The others go to the tokenizer
-    in one string, whose ids are dealt out by the bytes that each stands for.
+    between two characters other than white space, and where runs of letters,
+    digits and marks meet. Texts are cut there by array operations over many
+    texts at once; a word with anything else in it (other scripts, apostrophes, other
+    white space) stays whole. Each part is looked up by a 64-bit hash of its
+    characters. New parts go to the tokenizer, many in one string, whose ids
+    are dealt out by the bytes that each stands for: plain ones to its model
+    alone, since they are single pre-tokens, the others to all of it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -47,71 +77,171 @@ class Encoder:
         self.bytes_of[list(spelled.values())] = [len(x) for x in spelled]  # a character stands for a byte
         self.added = {t.content: np.asarray([i], dtype="<u4").tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.literals = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
-        self.known: dict[str, bytes] = {}  # no subclass of dict: set.difference() would then walk all of it
-        self.before: dict[str, bytes] = {}
+        model = self.tokenizer.model
+        getattr(model, "_resize_cache", lambda n: None)(0)  # what it is asked is always new
+        self.merger = Tokenizer(model)
+        self.merger.pre_tokenizer = WhitespaceSplit()
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = np.zeros(256, dtype="<u4")  # the model's spelling of bytes
+        self.alphabet[seen] = seen
+        self.alphabet[sorted(set(range(256)) - set(seen))] = 256 + np.arange(256 - len(seen))
+        self.alphabet[9] = 32  # the separator of plain parts, which hold no tab
+        self.forget()
+
+    def forget(self) -> None:
+        """The known parts: sorted hashes, and where in ``flat`` the ids of each are."""
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.counts = np.zeros(0, dtype=np.int64)
+        self.flat = np.zeros(0, dtype="<u4")
 
     def whole(self, text: str) -> bytes:
-        return self._whole([text])[0]
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _dealt(self, words: list[str]) -> list[bytes]:
-        """The ids of each word after a space."""
-        raw = self.whole(f" {' '.join(words)}")
-        ends = np.cumsum(self.bytes_of[np.frombuffer(raw, dtype="<u4")])
-        at = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in words]), side="right") * 4
-        return [raw[a:b] for a, b in zip([0, *at.tolist()], at.tolist(), strict=False)]
-
-    def _look_up(self, words: set[str]) -> list[str]:
-        """Make all these words known; returns those too long to be kept."""
-        if len(self.known) > _KEPT:
-            self.before, self.known = self.known, {}
-        fresh = []
-        for w in words.difference(self.known):
-            ids = self.before.get(w)
-            if ids is None:
-                fresh.append(w)
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _together(self, parts: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts and how many each has. Unless plain, parts begin with a space."""
+        ids, counts = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.int64)]
+        for at in range(0, len(parts), 8192):
+            some = parts[at : at + 8192]
+            raw = np.frombuffer(("\t" if plain else "").join(some).encode(), dtype=np.uint8)
+            if plain:
+                cuts = np.flatnonzero(raw == 9)
+                ends = np.concatenate((cuts, [len(raw)])) - np.arange(len(some))
+                spelled, by = self.alphabet[raw].tobytes().decode("utf-32-le"), self.merger
             else:
-                self.known[w] = ids
-        for at in range(0, len(fresh), 8192):
-            some = fresh[at : at + 8192]
-            self.known.update(zip(some, self._dealt(some), strict=True))
-        return [w for w in fresh if len(w) > _LONG]
+                ends = np.cumsum([len(p.encode()) for p in some])
+                spelled, by = raw.tobytes().decode(), self.tokenizer
+            own = np.asarray(by.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, dtype="<u4")
+            past = np.searchsorted(np.cumsum(self.bytes_of[own]), ends, side="right")
+            ids.append(own)
+            counts.append(np.diff(past, prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _spelled_out(self, parts: list[str], plain: np.ndarray, bare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_together()``, for parts of every kind. bare: the first of a text, which have no space in front."""
+        counts = np.zeros(len(parts), dtype=np.int64)
+        ids, order = [], []
+        alone = np.flatnonzero(~plain & bare)
+        for at, own in ((np.flatnonzero(plain), True), (np.flatnonzero(~plain & ~bare), False)):
+            found, n = self._together([parts[i] for i in at.tolist()], own)
+            counts[at] = n
+            ids.append(found)
+            order.append(at)
+        for i, e in zip(alone.tolist(), self.tokenizer.encode_batch_fast([parts[i] for i in alone.tolist()], add_special_tokens=False), strict=True):
+            ids.append(np.asarray(e.ids, dtype="<u4"))
+            counts[i] = len(ids[-1])
+        order = np.concatenate((*order, alone))
+        starts = np.zeros(len(parts), dtype=np.int64)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate(ids)[_repeated(starts, counts)], counts
+
+    def _block(self, texts: list[str], goes_on: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts and how many each has. goes_on: it begins with a
+        space that stood between two characters other than white space."""
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        whole = "".join(texts)
+        if not whole:
+            return np.zeros(0, dtype="<u4"), np.zeros(len(texts), dtype=np.int64)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        n = len(points)
+        begins = np.cumsum(lengths) - lengths
+        has = lengths > 0
+        going = np.array(goes_on, dtype=bool) & has
+        first, last = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        first[begins[has & ~going]] = True
+        last[(begins + lengths)[has] - 1] = True
+        kind = _CLASS[np.minimum(points, _TOP)]
+        empty = kind >= _FEED
+        beside = np.empty(n, dtype=bool)  # white space or a text's end on either side
+        beside[0], beside[1:] = True, empty[:-1]
+        beside |= first
+        beside[begins[going]] = False
+        beside[:-1] |= empty[1:]
+        beside |= last
+        start = ((kind == _BLANK) & ~beside) | first
+        odd = (kind == _OTHER) | (kind == _SPACE) | ((kind >= _FEED) & beside)
+        word = np.flatnonzero(start)
+        within = np.repeat(np.logical_or.reduceat(odd, word), np.diff(word, append=n))
+        turn = np.empty(n, dtype=bool)
+        turn[0], turn[1:] = True, (kind[1:] != kind[:-1]) & ~((kind[:-1] == _BLANK) & start[:-1])
+        start |= turn & ~within
+        at = np.flatnonzero(start)
+        sizes = np.diff(at, append=n)
+        place = np.minimum(np.arange(n) - np.repeat(at, sizes), _LONG - 1)
+        mixed = _LOW[points & 0xFFF]
+        if points.max() > 0xFFF:
+            mixed = mixed ^ _HIGH[points >> 12]
+        keys = np.add.reduceat(mixed * _PLACE[place], at)
+        starts, counts, flat = self._placed(whole, at, sizes, keys, within, first)
+        texts_at = np.searchsorted(at, np.append(begins, n))
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        return flat[_repeated(starts, counts)], np.diff(ends[texts_at])
+
+    def _placed(self, whole: str, at: np.ndarray, sizes: np.ndarray, keys: np.ndarray, within: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each part are, how many, and the array that they are in."""
+        if len(self.hashes) > _KEPT:
+            self.forget()
+        long = np.flatnonzero(sizes > _LONG)
+        if len(long):  # each a part of its own: their hashes say too little
+            short = np.flatnonzero(sizes <= _LONG)
+            kept, back, of = np.unique(keys[short], return_index=True, return_inverse=True)
+            back = short[back]
+        else:
+            kept, back, of = np.unique(keys, return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.hashes, kept)
+        known = spot < len(self.hashes)
+        known[known] = self.hashes[spot[known]] == kept[known]
+        starts, counts = np.zeros(len(kept), dtype=np.int64), np.zeros(len(kept), dtype=np.int64)
+        starts[known], counts[known] = self.starts[spot[known]], self.counts[spot[known]]
+        new = np.concatenate((back[~known], long))
+        parts = [whole[a : a + s] for a, s in zip(at[new].tolist(), sizes[new].tolist(), strict=True)]
+        ids, n = self._spelled_out(parts, ~within[at[new]], first[at[new]])
+        begin = len(self.flat) + np.cumsum(n) - n
+        flat, m = np.concatenate((self.flat, ids)), len(new) - len(long)
+        starts[~known], counts[~known] = begin[:m], n[:m]
+        self.hashes = np.insert(self.hashes, spot[~known], kept[~known])
+        self.starts = np.insert(self.starts, spot[~known], begin[:m])
+        self.counts = np.insert(self.counts, spot[~known], n[:m])
+        self.flat = flat[: len(self.flat) + int(n[:m].sum())]
+        if not len(long):
+            return starts[of], counts[of], flat
+        all_starts, all_counts = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        all_starts[short], all_counts[short] = starts[of], counts[of]
+        all_starts[long], all_counts[long] = begin[m:], n[m:]
+        return all_starts, all_counts, flat
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit bytes."""
         out: list[list[bytes]] = [[] for _ in texts]
-        held: list[tuple[int, list[str]]] = []
-        firsts: list[tuple[int, str]] = []
+        parts: list[str] = []
+        owners: list[int] = []
+        goes_on: list[bool] = []
         n = 0
 
         def flush() -> None:
             nonlocal n
-            for (i, _), ids in zip(firsts, self._whole([f for _, f in firsts]), strict=True):
-                out[i].append(ids)
-            long = self._look_up({w for _, words in held for w in words})
-            for i, words in held:
-                out[i].extend(map(self.known.__getitem__, words))
-            for w in long:
-                del self.known[w]
-            held.clear()
-            firsts.clear()
+            ids, counts = self._block(parts, goes_on)
+            raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+            for i, a, b in zip(owners, [0, *ends], ends, strict=False):
+                out[i].append(raw[a:b])
+            for done in (parts, owners, goes_on):
+                done.clear()
             n = 0
 
         for i, text in enumerate(texts):
             at = 0
-            while at < len(text) or not at:
+            while at < len(text):
                 cut = _CUT.search(text, at + _BLOCK)
-                part = text[at : cut.start()] if cut else text[at:]
-                words = _CUT.split(part) if _ODD.search(part) else part.split(" ")
-                if not at:
-                    firsts.append((i, words.pop(0)))
-                held.append((i, words))
-                n += len(part)
-                at = cut.end() if cut else len(text) + 1
+                end = cut.start() if cut else len(text)
+                parts.append(text[at:end])
+                owners.append(i)
+                goes_on.append(at > 0)
+                n += end - at
+                at = end
                 if n >= _BLOCK:
                     flush()
-        flush()
+        if parts:
+            flush()
         return [b"".join(x) for x in out]
 
     def encode_default(self, texts: list[str]) -> list[bytes]:
@@ -131,37 +261,38 @@ def pieces_of(ids: bytes, size: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-_PIECE = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint{ids}>>"
-
-
-def _piece_arrow(with_ids: bool) -> pa.DataType:
-    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    return pa.list_(pa.struct(fields + [("ids", pa.list_(pa.int64()))] * with_ids))
-
-
 _encoders: dict[str, Encoder] = {}
 
 
-def pieces_column(text: Column, tokenizer_path: str, size: int, with_ids: bool) -> Column:
-    """An array of pieces for each text; with_ids adds the ids themselves."""
-    kind = _piece_arrow(with_ids)
+def tokenised(docs: DataFrame, tokenizer_path: str, size: int, with_ids: bool) -> DataFrame:
+    """``docs(id, text)`` -> a row a piece: ``(id, piece, start, length,
+    ids_crc32)`` and, on request, the ids. Texts are taken a few megabytes at a
+    time; a worker forgets its spellings when its task ends."""
+    more = ", ids array<bigint>" if with_ids else ""
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint{more}"
+    end = np.asarray([END], dtype="<u4").tobytes()
 
-    @F.arrow_udf(_PIECE.format(ids=",ids:array<bigint>" if with_ids else ""))
-    def pieces(texts: pa.Array) -> pa.Array:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _encoders:
             _encoders[tokenizer_path] = Encoder(tokenizer_path)
-        encode = _encoders[tokenizer_path].encode_default
-        end = np.asarray([END], dtype="<u4").tobytes()
-        rows = []
-        for ids in (x + end for x in encode([t or "" for t in texts.to_pylist()])):
-            rows.append([])
-            for k, (start, length) in enumerate(pieces_of(ids, size)):
-                own = ids[4 * start : 4 * (start + length)]
-                more = {"ids": np.frombuffer(own, dtype="<u4").astype(np.int64)} if with_ids else {}
-                rows[-1].append({"piece": k, "start": start, "length": length, "ids_crc32": zlib.crc32(own)} | more)
-        return pa.array(rows, type=kind)
-
-    return pieces(text)
+        encoder = _encoders[tokenizer_path]
+        try:
+            for batch in batches:
+                for some in byte_slices(batch, "text"):
+                    encoded = [x + end for x in encoder.encode_default([t or "" for t in some.column("text").to_pylist()])]
+                    rows = [(i, k, start, n) for i, ids in enumerate(encoded) for k, (start, n) in enumerate(pieces_of(ids, size))]
+                    i, k, start, n = np.asarray(rows, dtype=np.int64).reshape(-1, 4).T
+                    own = [encoded[r[0]][4 * r[2] : 4 * (r[2] + r[3])] for r in rows]
+                    columns = [some.column("id").take(pa.array(i)), pa.array(k.astype(np.int32)), pa.array(start), pa.array(n), pa.array(list(map(zlib.crc32, own)), type=pa.int64())]
+                    if with_ids:
+                        flat = np.frombuffer(b"".join(own), dtype="<u4").astype(np.int64)
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat)))
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+        finally:
+            encoder.forget()
+            pa.default_memory_pool().release_unused()
+
+    return docs.mapInArrow(pieces, schema)
 
 
 def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -231,8 +362,7 @@ def pack(
     2 * size * log2(size) rows (20,480) whatever the corpus, and is broadcast.
     """
     spark: SparkSession = docs.sparkSession
-    made = docs.select(F.col(id_col).alias("id"), F.explode(pieces_column(F.col(text_col), tokenizer_path, size, with_ids)).alias("p"))
-    pieces = written(made.select("id", "p.*"))
+    pieces = written(tokenised(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer_path, size, with_ids))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = spark.createDataFrame(
         plan(histogram, size), "slot_length bigint, first_rank bigint, past_rank bigint, first_bin bigint, per_bin bigint, slot_offset bigint"
