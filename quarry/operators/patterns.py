@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.arrays import match_lines
 from quarry.operators.relational import tolerance_join
 
 Rule = tuple[str, str, float]
@@ -32,6 +34,61 @@ def scan_by_language(lines: DataFrame, rules: dict[str, Sequence[Rule]], languag
     return whole
 
 
+def _hits(at: Column, rule: int, title: str, cvss: float) -> Column:
+    return F.transform(at, lambda line: F.struct(F.lit(rule).alias("rule"), F.lit(title).alias("title"), F.lit(cvss).alias("cvss"), line.alias("line")))
+
+
+def scan_content(files: DataFrame, rules: Sequence[tuple], *, any_case: bool = False, content: str = "content") -> DataFrame:
+    """``files`` x matches of rules in whole texts: rule, title, cvss and the
+    line on which the match begins, in place of the content. Matches may span
+    lines. Like ``scan()`` one projection, with no join and no shuffle."""
+    flag = "(?i)" if any_case else ""
+    others = [c for c in files.columns if c != content]
+    hits = []
+    for i, (pattern, title, cvss, *unless) in enumerate(rules):
+        at = match_lines(F.col(content), flag + pattern, *(flag + u for u in unless))
+        hits.append(_hits(at, i, title, float(cvss)))
+    return files.select(*others, F.explode(F.concat(*hits)).alias("m")).select(*others, "m.*")
+
+
+def scan_content_by_kind(files: DataFrame, rules: dict[str, Sequence[tuple]], kind: str, *, any_case: bool = False) -> DataFrame:
+    """``scan_content()`` with the rules of each file's own kind."""
+    return reduce(DataFrame.unionByName, (scan_content(files.where(F.col(kind) == k), own, any_case=any_case) for k, own in rules.items()))
+
+
+def check_then_use(lines: DataFrame, file: str, checks: Sequence[tuple[str, str, str, float]], within: int) -> DataFrame:
+    """``(file, line, title, cvss)``: lines that match a check whose use follows
+    within so many lines. Checks and uses of all rules are found in one pass;
+    they meet on (file, rule, cell of lines), never all with all of a file."""
+    t = F.col("line_text")
+    marks = lambda at: F.array_compact(F.array(*(F.when(t.rlike(r[at]), F.lit(i)) for i, r in enumerate(checks))))
+    found = lines.select(file, "line", marks(0).alias("checks"), marks(1).alias("uses"))
+    check = found.select(file, "line", F.explode("checks").alias("rule"))
+    use = found.select(file, F.col("line").alias("use_line"), F.explode("uses").alias("rule"))
+    cell = lambda c: F.floor(c / within).cast("long")
+    left = check.withColumn("cell", F.explode(F.array(cell(F.col("line")), cell(F.col("line")) + 1)))
+    near_ = left.join(use.withColumn("cell", cell(F.col("use_line"))).distinct(), [file, "rule", "cell"]).where(F.col("use_line").between(F.col("line") + 1, F.col("line") + within))
+    pick = lambda k: F.element_at(F.array(*(F.lit(r[k]) for r in checks)), F.col("rule") + 1)
+    return near_.select(file, "line", "rule").distinct().select(file, "line", pick(2).alias("title"), pick(3).cast("double").alias("cvss"))
+
+
+def recurring_names(lines: DataFrame, file: str, opening: str, name: str, within: int) -> DataFrame:
+    """``(file, line, name)``: lines that match ``opening`` whose name (the first
+    group of ``name``) stands again within the next lines."""
+    t = F.col("line_text")
+    opened = lines.where(t.rlike(opening)).select(file, "line", F.regexp_extract(t, name, 1).alias("name")).where("name <> ''")
+    near_ = tolerance_join(opened, lines.select(file, F.col("line").alias("other"), "line_text"), file, "line", "other", within)
+    hit = near_.where(F.col("other").between(F.col("line") + 1, F.col("line") + within) & F.contains("line_text", F.col("name")))
+    return hit.select(file, "line", "name").distinct()
+
+
+def missing_flags(files: DataFrame, file: str, content: str, flags: Sequence[tuple[str, str, float]]) -> DataFrame:
+    """``(file, line, title, cvss)`` with line 1 for each flag that a file lacks, in any case."""
+    low = F.lower(content)
+    lacking = F.array_compact(F.array(*(F.when(~F.contains(low, F.lit(f.lower())), F.struct(F.lit(t).alias("title"), F.lit(float(c)).alias("cvss"))) for f, t, c in flags)))
+    return files.select(file, F.lit(1).alias("line"), F.explode(lacking).alias("m")).select(file, "line", "m.*")
+
+
 def capped(hits: DataFrame, per: list[tuple[list[str], int]], order: list[str]) -> DataFrame:
     """First hits in scan order, at most so many in each group, cap after cap."""
     for i, (group, most) in enumerate(per):

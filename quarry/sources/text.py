@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.arrays import running
+
 #: Folders whose files are no targets. Fixed values.
 SKIPPED_FOLDERS = [".git", "node_modules", "vendor", "__pycache__", ".venv", "venv", "target", "build", "dist", "test", "tests", "spec", "fixtures", "examples"]
 
@@ -31,14 +33,13 @@ def lines(files: DataFrame, content: str = "content") -> DataFrame:
 def line_offsets(files: DataFrame, key: str, content: str = "content") -> DataFrame:
     """``(key, line, start, bytes)``: where each line begins, in bytes.
 
-    Offsets are a running sum within the row's own array, so no shuffle and no window is needed.
+    Offsets are a running sum within the row's own array, so no shuffle and no
+    window is needed.
     """
-    sizes = F.transform(F.split(content, "\n"), lambda s: F.octet_length(s))
-    starts = F.aggregate(
-        sizes, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda a, n: F.struct((a["at"] + n + 1).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
-    )["out"]
-    return files.select(key, F.posexplode(F.arrays_zip(starts.alias("start"), sizes.alias("bytes"))).alias("pos", "x")).select(
+    sizes = F.transform(F.split(content, "\n"), lambda s: F.octet_length(s).cast("long"))
+    ends = running(F.transform(sizes, lambda n: n + 1), lambda a, x: a + x, F.lit(0).cast("long"))
+    starts = F.zip_with(ends, sizes, lambda e, n: e - n - 1)
+    return files.select(key, F.posexplode(F.zip_with(starts, sizes, lambda a, n: F.struct(a.alias("start"), n.cast("int").alias("bytes")))).alias("pos", "x")).select(
         key, (F.col("pos") + 1).alias("line"), F.col("x.start").alias("start"), F.col("x.bytes").alias("bytes")
     )
 
@@ -63,10 +64,10 @@ def tree_hash(files: DataFrame, path: str, sha: str) -> DataFrame:
 
 
 def requirements(files: DataFrame, content: str = "content") -> DataFrame:
-    """Lines ``name==version`` of requirements files -> ``(path, package, version)``."""
+    """Lines ``name==version`` of requirements files -> ``(path, line, package, version)``."""
     found = lines(files, content).withColumn("m", F.regexp_extract_all("line_text", F.lit(r"^\s*([A-Za-z0-9_.-]+)\s*==\s*([A-Za-z0-9_.-]+)"), F.lit(1)))
     version = F.regexp_extract("line_text", r"==\s*([A-Za-z0-9_.-]+)", 1)
-    return found.where(F.size("m") > 0).select("path", F.col("m")[0].alias("package"), version.alias("version"))
+    return found.where(F.size("m") > 0).select("path", "line", F.col("m")[0].alias("package"), version.alias("version"))
 
 
 def package_json(files: DataFrame, content: str = "content", include_dev: bool = False) -> DataFrame:
