@@ -78,9 +78,28 @@ def nearest_before(df: DataFrame, keys: list[str], at: list[str], is_anchor: Col
     return df.withColumn(out, F.last(F.when(is_anchor, value), ignorenulls=True).over(upto))
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str) -> DataFrame:
+    """``df`` with ``out``: 1, 2 and so on within equal keys, in ``order``.
+
+    ``bucket`` grows with the order, as a coarser form of its first column. Rows
+    are numbered within (keys, bucket), and each bucket begins where the counts
+    of those before it end, so a key with a third of all rows is many groups.
+    """
+    rows = df.withColumn("bucket_", bucket)
+    counts = rows.groupBy(*keys, "bucket_").agg(F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("bucket_").alias("of_"), F.coalesce(before, F.lit(0)).alias("before_"))
+    own = rows.withColumn("own_", F.row_number().over(Window.partitionBy(*keys, "bucket_").orderBy(*order)))
+    same = F.col("bucket_").eqNullSafe(F.col("of_"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    return own.join(starts, same).select(*df.columns, (F.col("before_") + F.col("own_")).alias(out))
+
+
 def batches(df: DataFrame, order: list[str], size: int, group: str) -> DataFrame:
     """``df`` with ``batch``: consecutive runs of ``size`` rows within a group."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1) / size))
+    rows = numbered(df, [group], order, F.col(order[0]), "place_")
+    return rows.withColumn("batch", F.floor((F.col("place_") - 1) / size)).drop("place_")
 
 
 def first_of_union(parts: list[DataFrame], keys: list[str], order: str) -> DataFrame:

@@ -11,7 +11,7 @@ from quarry.operators import dedup as D
 from quarry.operators import scoring as S
 from quarry.plans.registry import query
 from quarry.sources.sinks import metric_lines
-from quarry.sources.tables import FINDINGS_SQL, findings, table
+from quarry.sources.tables import FINDINGS_SQL, JOBS_SQL, findings, jobs, table
 
 PATH = r"ltrim(regexp_replace(trim(replace(file, '\', '/')), '/+(\./)*', '/', 'g'), './')"
 CLASS = """CASE WHEN contains(lower(title), 'command injection') OR contains(lower(title), 'os.system') OR contains(lower(title), 'popen') THEN 'command_injection'
@@ -117,12 +117,24 @@ def tool_coverage(spark: SparkSession, d: str) -> DataFrame:
     return C.tool_ledger(findings(spark, d).select("repo_id", F.expr(_TOOLSTATUS).alias("status")), ["repo_id"])
 
 
-@query(f"""WITH {FINDINGS_SQL}, t AS (SELECT repo_id, list_distinct(list(tool)) AS tools FROM findings WHERE cvss > 9.5 GROUP BY repo_id)
-SELECT repo_id, list_has_any(tools, ['semgrep', 'grep']) AS static, list_has_any(tools, ['secret-grep']) AS secrets, list_has_any(tools, ['config-audit']) AS config,
- list_has_any(tools, ['semgrep', 'grep']) AND list_has_any(tools, ['secret-grep']) AND list_has_any(tools, ['config-audit']) AS all_gates FROM t""")
+#: The five gates and the tools that open each. Fixed values.
+GATES = {
+    "forward_taint": ["taint-proximity", "cross-file-taint", "joern-cpg"],
+    "sink_first": ["sink-first", "entry-point-dataflow", "api-surface"],
+    "error_paths": ["methodology-patterns", "error-path-residue"],
+    "dynamic_trace": ["dynamic-recon", "dynamic-path-exploration", "native-fuzzing"],
+    "variant_analysis": ["silent-fix-variants", "sibling-variant", "pattern-transfer", "check-referent-mismatch"],
+}
+_TOOLS = [t for ts in GATES.values() for t in ts]
+_RAN = "CASE id % 60 " + " ".join(f"WHEN {i * 2 + 1} THEN '{t}'" for i, t in enumerate(_TOOLS)) + " ELSE 'grep' END"
+
+
+@query(f"""WITH {JOBS_SQL}, t AS (SELECT repo_id, list_distinct(list({_RAN})) AS tools FROM jobs WHERE status = 'completed' GROUP BY repo_id)
+SELECT repo_id, {', '.join(f"list_has_any(tools, {ts!r}) AS {g}" for g, ts in GATES.items())}, {' AND '.join(f"list_has_any(tools, {ts!r})" for ts in GATES.values())} AS all_gates FROM t""")
 def exhaustion_gates(spark: SparkSession, d: str) -> DataFrame:
-    t = findings(spark, d).where("cvss > 9.5").groupBy("repo_id").agg(F.collect_set("tool").alias("tools"))  # at most the five tools
-    return C.gates(t, "tools", {"static": ["semgrep", "grep"], "secrets": ["secret-grep"], "config": ["config-audit"]}).drop("tools")
+    ran = jobs(spark, d).where("status = 'completed'").select("repo_id", F.expr(_RAN).alias("tool"))
+    t = ran.groupBy("repo_id").agg(F.collect_set("tool").alias("tools"))  # at most the sixteen names
+    return C.gates(t, "tools", GATES).drop("tools")
 
 
 @query("""WITH x AS (SELECT d.lang, length(d.text) > 1500 AS p, l.quality = 1 AS a FROM documents d JOIN labels l USING (doc_id)),
@@ -153,13 +165,17 @@ def metric_exposition(spark: SparkSession, d: str) -> DataFrame:
     return metric_lines(findings(spark, d).groupBy("tool").agg(F.count("*").alias("n")), "findings_total", F.col("n"), tool=F.col("tool"))
 
 
-@query("""WITH b AS (SELECT a.doc_id AS a, b.item_id AS b, list_distinct(regexp_extract_all(lower(a.text), '[a-z0-9]+')) AS x, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS y
- FROM documents a JOIN benchmark b ON a.doc_id % 40 = b.item_id % 40)
-SELECT a, b, CASE WHEN len(list_distinct(list_concat(x, y))) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END AS overlap FROM b""")
+_TOKENS = "SELECT {0} AS {1}, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS t FROM {2}"
+
+
+@query(f"""WITH x AS ({_TOKENS.format('doc_id', 'a', 'documents')}), y AS ({_TOKENS.format('item_id', 'b', 'benchmark')}),
+nx AS (SELECT a, count(*) AS nx FROM x GROUP BY a), ny AS (SELECT b, count(*) AS ny FROM y GROUP BY b), c AS (SELECT a, b, count(*) AS c FROM x JOIN y USING (t) GROUP BY a, b)
+SELECT a, b, c::DOUBLE / (nx + ny - c) AS overlap FROM c JOIN nx USING (a) JOIN ny USING (b) WHERE c::DOUBLE / (nx + ny - c) >= 0.25""")
 def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    """All documents against all benchmark items, at a Jaccard of 0.25 or more."""
     a = table(spark, d, "documents").select(F.col("doc_id").alias("a"), D.tokens(F.col("text")).alias("x"))
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("b"), D.tokens(F.col("text")).alias("y"))
-    return a.join(b, F.col("a") % 40 == F.col("b") % 40).select("a", "b", D.jaccard(F.col("x"), F.col("y")).alias("overlap"))
+    return D.similar_sets(a, b, 0.25)
 
 
 @query()

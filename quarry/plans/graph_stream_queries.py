@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import graph as G
 from quarry.operators.relational import latest_per_group
 from quarry.plans.registry import query
+from quarry.sources.scratch import folder
 from quarry.sources.tables import table
 from quarry.streaming import progress as S
 
@@ -105,19 +103,42 @@ def message_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return S.occurrences(table(spark, d, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id", "occurrence")
 
 
-def _folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one for a local session without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return named.rstrip("/") if named else os.path.join(tempfile.gettempdir(), f"quarry-{spark.sparkContext.applicationId}")
+_H, _T = "event_id % 10 < 7", "event_id % 10 > 3"
+
+
+@query(f"""WITH h AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id)::INT AS occurrence FROM events WHERE {_H}),
+t AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id)::INT AS occurrence FROM events WHERE {_T})
+SELECT * FROM h UNION ALL SELECT * FROM t ANTI JOIN h USING (user_id, event_type, occurrence)""")
+def replayed_messages(spark: SparkSession, d: str) -> DataFrame:
+    """A replayed history and a live tail that overlap, each occurrence once."""
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    return S.replay_and_tail(e.where(_H), e.where(_T), ["user_id", "event_type"], "event_id")
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, max(ts) AS heartbeat FROM events GROUP BY user_id)
+SELECT user_id, heartbeat, (epoch_us(now) - epoch_us(heartbeat))::DOUBLE / 1000000 AS age FROM l, n WHERE epoch_us(now) - epoch_us(heartbeat) > 86400000000""")
+def expired_leases(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return S.expired_leases(e, "user_id", "ts", 86_400, e.agg(F.max("ts").alias("now")))
+
+
+_TASK = "CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'queued' ELSE 'running' END"
+_JOBSTATE = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END"
+
+
+@query(f"""WITH t AS (SELECT event_id, event_id % 1000 + 1 AS job_id, {_TASK} AS state FROM events), j AS (SELECT o_orderkey AS job_id, {_JOBSTATE} AS js FROM orders)
+SELECT event_id, CASE WHEN state IN ('queued', 'running') AND js IN ('completed', 'failed') THEN js ELSE state END AS state, coalesce(state IN ('queued', 'running') AND js IN ('completed', 'failed'), false) AS swept FROM t LEFT JOIN j USING (job_id)""")
+def terminal_sweep(spark: SparkSession, d: str) -> DataFrame:
+    tasks = table(spark, d, "events").select("event_id", (F.col("event_id") % 1000 + 1).alias("job_id"), F.expr(_TASK).alias("state"))
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.expr(_JOBSTATE).alias("state"))
+    return S.closed_with_job(tasks, jobs, "job_id").select("event_id", "state", "swept")
 
 
 @query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def streamed_windows(spark: SparkSession, d: str) -> DataFrame:
     events = S.read_stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     counted = S.tumbling(events, "ts", "1 day", ["event_type"], {"n": F.count("*")}, lateness="2 days")
-    return S.run_to_table(counted, _folder(spark), mode="complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return S.run_to_table(counted, folder(spark), mode="complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 _STATE = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
@@ -127,6 +148,6 @@ _STATE = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running'
 SELECT task, count(*)::BIGINT AS events, arg_max(state, (ts, state)) FILTER (state IN ('completed', 'failed')) AS state, max(ts) FILTER (state IN ('completed', 'failed')) AS ended_at FROM e GROUP BY task""")
 def streamed_task_ledger(spark: SparkSession, d: str) -> DataFrame:
     events = S.read_stream(spark, f"{d}/events.parquet").select("user_id", F.expr(_STATE).alias("state"), "ts")
-    ledger = S.run_to_table(S.task_ledger(events, "user_id", "state", "ts"), _folder(spark), mode="update")
+    ledger = S.run_to_table(S.task_ledger(events, "user_id", "state", "ts"), folder(spark), mode="update")
     last = latest_per_group(ledger, "task", "events")
     return last.select("task", "events", "state", F.col("ended_at").cast("timestamp_ntz").alias("ended_at"))

@@ -146,7 +146,8 @@ def tool_gain(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {JOBS_SQL} SELECT id, row_number() OVER (PARTITION BY repo_id ORDER BY id)::INT AS place FROM jobs WHERE status = 'queued'""")
 def queue_positions(spark: SparkSession, d: str) -> DataFrame:
-    return R.ranked_per_group(jobs(spark, d).where("status = 'queued'"), ["repo_id"], [F.asc("id")], 2**31 - 1, "place").select("id", "place")
+    queued = jobs(spark, d).where("status = 'queued'")
+    return R.numbered(queued, ["repo_id"], ["id"], F.floor(F.col("id") / 100_000), "place").select("id", F.col("place").cast("int").alias("place"))
 
 
 @query(f"WITH {JOBS_SQL} SELECT repo_id, median(cost) AS median_cost, avg(cost) AS mean_cost, count(*)::BIGINT AS n FROM jobs GROUP BY repo_id")

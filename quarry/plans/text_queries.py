@@ -12,6 +12,7 @@ from quarry.operators import patterns as P
 from quarry.operators import search as Q
 from quarry.plans.registry import query
 from quarry.sources import text as X
+from quarry.sources.scratch import saved
 from quarry.sources.tables import FILES_SQL, files, table
 
 LINES_SQL = f"{FILES_SQL}, lines AS (SELECT path, doc_id, unnest(range(len(ls)) ) + 1 AS line, unnest(ls) AS line_text FROM (SELECT path, doc_id, string_split(content, chr(10)) AS ls FROM files))"
@@ -26,9 +27,9 @@ def _rules_sql(rules: list, any_case: bool = True) -> str:
     return f"rules(rule, pattern, title, cvss) AS (VALUES {rows})"
 
 
-@query(f"WITH {LINES_SQL} SELECT path, line::INT AS line, line_text FROM lines WHERE doc_id % 20 = 3 AND length(line_text) > 40")
+@query(f"WITH {LINES_SQL} SELECT path, line::INT AS line, length(line_text)::INT AS width, line_text FROM lines")
 def file_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _lines(spark, d).where("doc_id % 20 = 3 AND length(line_text) > 40").select("path", "line", "line_text")
+    return _lines(spark, d).select("path", "line", F.length("line_text").alias("width"), "line_text")
 
 
 @query(f"WITH {LINES_SQL} SELECT path, line::INT AS line, line_text FROM lines")
@@ -166,31 +167,30 @@ def tfidf_search(spark: SparkSession, d: str) -> DataFrame:
     return Q.top_k(_lexical(spark, d), "item_id", "doc_id", 5).withColumn("score", F.round("score", 6))
 
 
-_GRAM = r"list_transform(range(1, greatest(length(regexp_replace(lower({0}), '\s+', ' ', 'g')) - 2, 1) + 1), lambda i: substr(regexp_replace(lower({0}), '\s+', ' ', 'g'), i, 3))"
+_CHARS = r"(SELECT {0}, string_split(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'), '') AS c FROM {1})"
+_GRAMS = "(SELECT {0}, g, count(*) AS n FROM (SELECT {0}, unnest(CASE WHEN len(c) = 0 THEN [] WHEN len(c) < 3 THEN [array_to_string(c, '')] ELSE list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) END) AS g FROM {1}) GROUP BY ALL)"
 _HYBRID = f"""{_TFIDF}, cand AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored QUALIFY rank <= 15),
-ga AS (SELECT item_id, g, count(*) AS x FROM (SELECT item_id, unnest({_GRAM.format('text')}) AS g FROM benchmark) GROUP BY ALL),
-gb AS (SELECT doc_id, g, count(*) AS y FROM (SELECT doc_id, unnest({_GRAM.format('text')}) AS g FROM documents WHERE doc_id IN (SELECT doc_id FROM cand)) GROUP BY ALL),
-na AS (SELECT item_id, sum(x * x) AS nx FROM ga GROUP BY 1), nb AS (SELECT doc_id, sum(y * y) AS ny FROM gb GROUP BY 1),
-dot AS (SELECT c.item_id, c.doc_id, sum(x * y)::DOUBLE AS dot FROM cand c JOIN ga ON ga.item_id = c.item_id JOIN gb ON gb.doc_id = c.doc_id AND gb.g = ga.g GROUP BY ALL),
-cosine AS (SELECT c.item_id, c.doc_id, coalesce(dot / sqrt(nx::DOUBLE * ny::DOUBLE), 0) AS cosine FROM cand c JOIN na USING (item_id) JOIN nb USING (doc_id) LEFT JOIN dot USING (item_id, doc_id)),
+near AS (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM cand)),
+ga AS {_GRAMS.format('item_id', _CHARS.format('item_id', 'benchmark'))}, gb AS {_GRAMS.format('doc_id', _CHARS.format('doc_id', 'near'))},
+na AS (SELECT item_id, sum(n * n) AS nx FROM ga GROUP BY 1), nb AS (SELECT doc_id, sum(n * n) AS ny FROM gb GROUP BY 1),
+dot AS (SELECT c.item_id, c.doc_id, sum(ga.n * gb.n)::DOUBLE AS dot FROM cand c JOIN ga ON ga.item_id = c.item_id JOIN gb ON gb.doc_id = c.doc_id AND gb.g = ga.g GROUP BY ALL),
+cosine AS (SELECT c.item_id, c.doc_id, coalesce(dot / sqrt(nx::DOUBLE * ny::DOUBLE), 0) AS cosine FROM cand c LEFT JOIN na USING (item_id) LEFT JOIN nb USING (doc_id) LEFT JOIN dot USING (item_id, doc_id)),
 second AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 9) DESC, doc_id) AS rank FROM cosine)"""
 
 
 def _gram_ranked(spark: SparkSession, d: str, candidates: DataFrame) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("b"))
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
-    return Q.gram_cosine(candidates.select("item_id", "doc_id").join(docs, "doc_id").join(items, "item_id"), ["item_id", "doc_id"], "a", "b")
+    return Q.gram_cosine(candidates, table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id")
 
 
 @query(f"WITH {_HYBRID} SELECT item_id, doc_id, round(cosine, 6) AS cosine FROM cosine")
 def gram_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return _gram_ranked(spark, d, Q.top_k(_lexical(spark, d), "item_id", "doc_id", 15)).withColumn("cosine", F.round("cosine", 6))
+    return _gram_ranked(spark, d, saved(Q.top_k(_lexical(spark, d), "item_id", "doc_id", 15))).withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"""WITH {_HYBRID}, f AS (SELECT item_id, doc_id, sum(p) AS score FROM (SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS p FROM cand UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM second) GROUP BY ALL)
 SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM f QUALIFY rank <= 5""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    first = Q.top_k(_lexical(spark, d), "item_id", "doc_id", 15)
+    first = saved(Q.top_k(_lexical(spark, d), "item_id", "doc_id", 15))  # read four times
     second = Q.top_k(_gram_ranked(spark, d, first), "item_id", "doc_id", 15, "cosine")
     return Q.top_k(Q.fuse([first, second], "item_id", "doc_id"), "item_id", "doc_id", 5).withColumn("score", F.round("score", 6))
 

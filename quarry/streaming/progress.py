@@ -6,11 +6,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from quarry.operators.relational import numbered
+
 TERMINAL = ["completed", "failed", "skipped"]
 LEDGER = "task string, state string, started_at timestamp, ended_at timestamp, events bigint"
 
@@ -91,6 +93,29 @@ def task_ledger(events: DataFrame, key: str = "task", state: str = "state", at:
 
 
 def occurrences(messages: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``messages`` with ``occurrence``: the k-th of identical messages. A
-    replay and a live tail joined on (keys, occurrence) give each once."""
-    return messages.withColumn("occurrence", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    """``messages`` with ``occurrence``: the k-th of identical messages, in the
+    order of a whole number. A replay and a live tail joined on (keys, occurrence) give each once."""
+    return numbered(messages, keys, [order], F.floor(F.col(order) / 100_000), "occurrence").withColumn("occurrence", F.col("occurrence").cast("int"))
+
+
+def replay_and_tail(history: DataFrame, live: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``history`` and what ``live`` adds: of identical messages the k-th is the same one in both."""
+    old, new = occurrences(history, keys, order), occurrences(live, keys, order)
+    return old.unionByName(new.join(old.select(*keys, "occurrence"), [*keys, "occurrence"], "left_anti"))
+
+
+def expired_leases(leases: DataFrame, holder: str, heartbeat: str, seconds: float, now: DataFrame) -> DataFrame:
+    """``(holder, heartbeat, age)`` of leases whose last heartbeat is older than
+    ``seconds`` at ``now(now)``, a table of one row."""
+    last = leases.groupBy(holder).agg(F.max(heartbeat).alias("heartbeat"))
+    age = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("heartbeat").cast("timestamp"))) / 1_000_000
+    return last.crossJoin(F.broadcast(now)).withColumn("age", age).where(F.col("age") > seconds).select(holder, "heartbeat", "age")
+
+
+def closed_with_job(tasks: DataFrame, jobs: DataFrame, job: str) -> DataFrame:
+    """``tasks(job, task, state, ...)``: tasks that are still open when their job
+    has ended get the job's end as their state, others keep theirs."""
+    ended = jobs.where(F.col("state").isin("completed", "failed", "cancelled")).select(job, F.col("state").alias("ended_"))
+    closing = F.when(F.col("ended_") == "completed", "completed").when(F.col("ended_") == "failed", "failed").otherwise("cancelled")
+    still = F.col("state").isin("queued", "running") & F.col("ended_").isNotNull()
+    return tasks.join(ended, job, "left").withColumn("swept", still).withColumn("state", F.when(still, closing).otherwise(F.col("state"))).drop("ended_")
