@@ -8,7 +8,8 @@ each side, and a flag says what a model is trained on: the assistant's words.
 
 No conversation is gathered: hashes of turns are summed with opposite signs by
 (pair, turn), the smallest number with a sum other than zero is found for each
-pair, and joined back. Only ``assembled()`` builds whole examples, one a row.
+pair, and joined back. Only ``assembled()`` builds whole examples, one a row:
+the prompt once, and the two completions with the spans that are trained on.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.arrays import running
+
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
 
@@ -73,23 +76,35 @@ def format_pairs(turns: DataFrame) -> DataFrame:
 
 def assembled(rendered: DataFrame) -> DataFrame:
     """``format_pairs()`` -> one row a pair: prompt, chosen, rejected, and for
-    each completion the trained spans as [start, end) in code points. Rows of
-    one turn number are in the order of their roles and texts."""
+    each completion the trained spans as ``start:end`` in code points, end
+    exclusive, comma-joined. Rows of one turn number are in the order of their
+    roles and texts. An example is one row and as long as its conversation;
+    whoever has conversations beyond a row's size keeps to ``format_pairs()``."""
     of = lambda part: F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("turn", "role", "body", "header", "trained"))))
     text = lambda c: F.array_join(F.transform(c, lambda t: F.concat(t["header"], t["body"])), "")
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def spans(c: str) -> Column:
-        def step(a: Column, t: Column) -> Column:
-            start = a["at"] + F.length(t["header"])
-            end = start + F.length(t["body"])
-            own = F.when(t["trained"], F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-            return F.struct(end.alias("at"), F.concat(a["spans"], own).alias("spans"))
+        ends = running(F.transform(c, lambda t: F.length(t["header"]) + F.length(t["body"])), lambda a, x: a + x, F.lit(0))
+        marked = F.zip_with(c, ends, lambda t, e: F.when(t["trained"], F.concat_ws(":", e - F.length(t["body"]), e)))
+        return F.array_join(F.array_compact(marked), ",")
+
+    whole = rendered.groupBy("pair").agg(*(of(p).alias(f"{p}_turns") for p in ("prompt", "chosen", "rejected")))
+    return whole.select("pair", *(text(f"{p}_turns").alias(p) for p in ("prompt", "chosen", "rejected")), *(spans(f"{p}_turns").alias(f"{p}_spans") for p in ("chosen", "rejected")))
 
-        return F.aggregate(c, empty, step)["spans"]
 
-    whole = rendered.groupBy("pair").agg(*(of(p).alias(p) for p in ("prompt", "chosen", "rejected")))
-    return whole.select("pair", *(text(p).alias(p) for p in ("prompt", "chosen", "rejected")), spans("chosen").alias("chosen_spans"), spans("rejected").alias("rejected_spans"))
+def examples(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """``stale_reply_pairs()`` formatted and assembled: ``(conv_col, prompt,
+    chosen, rejected, chosen_spans, rejected_spans)``.
+
+    Turns without a conversation can't be told to belong together: each is a
+    prompt of its own, with empty completions. Repeated turns are all kept. An
+    empty table gives no rows.
+    """
+    known = conversations.where(F.col(conv_col).isNotNull())
+    pairs = assembled(format_pairs(stale_reply_pairs(known, conv_col=conv_col, turn_col=turn_col, role_col=role_col, text_col=text_col)))
+    no = [F.lit("").alias(c) for c in pairs.columns[2:]]
+    lone = conversations.where(F.col(conv_col).isNull()).select(F.col(conv_col), F.concat(header(F.col(role_col)), body(F.col(text_col))).alias("prompt"), *no)
+    return pairs.withColumnRenamed("pair", conv_col).unionByName(lone)
 
 
 def stale_reply_pairs(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -115,14 +130,18 @@ def stale_reply_pairs(conversations: DataFrame, *, conv_col: str = "conv_id", tu
 
 
 def oracle_sql() -> str:
-    """The rows of the registered query in DuckDB's SQL."""
+    """The rows of ``examples()`` on conversations, in DuckDB's SQL."""
     plain = lambda c: f"replace(coalesce({c}, ''), '<|', '< |')"
+    order = "turn NULLS FIRST, role NULLS FIRST, body, header"
+    text = lambda part: f"coalesce(string_agg(header || body, '' ORDER BY {order}) FILTER (part = '{part}'), '') AS {part}"
+    spans = lambda part: f"coalesce(string_agg((ends - length(body)) || ':' || ends, ',' ORDER BY ends) FILTER (part = '{part}' AND trained), '') AS {part}_spans"
+    rendered = f"'{BEGIN}' || {plain('role')} || chr(10) AS header, {plain('text')} || '{END}' || chr(10) AS body"
     return f"""
 WITH ends AS (
   SELECT conv_id, min(turn) AS opening, min(turn) FILTER (role = 'assistant') AS first_said, max(turn) FILTER (role = 'assistant') AS last_said
   FROM conversations GROUP BY conv_id),
 known AS (SELECT c.conv_id, c.turn, c.role, c.text, e.last_said, e.opening, CASE WHEN first_said < last_said THEN first_said ELSE opening END AS stale
-          FROM conversations c JOIN ends e ON c.conv_id IS NOT DISTINCT FROM e.conv_id),
+          FROM conversations c JOIN ends e ON c.conv_id = e.conv_id),
 chosen AS (SELECT conv_id, turn, role, text FROM known),
 rejected AS (
   SELECT conv_id, turn, role, text FROM known WHERE NOT coalesce(turn = last_said AND role = 'assistant', false)
@@ -133,6 +152,8 @@ differ AS (
 lcp AS (SELECT conv_id, min(turn) AS first_turn FROM differ GROUP BY conv_id),
 parts AS (
   SELECT CASE WHEN turn >= first_turn THEN 'chosen' ELSE 'prompt' END AS part, c.* FROM chosen c LEFT JOIN lcp USING (conv_id)
-  UNION ALL SELECT 'rejected', r.* FROM rejected r JOIN lcp USING (conv_id) WHERE turn >= first_turn)
-SELECT conv_id, part, turn, role, '{BEGIN}' || {plain('role')} || chr(10) AS header, {plain('text')} || '{END}' || chr(10) AS body,
-  part <> 'prompt' AND coalesce(role = 'assistant', false) AS trained FROM parts"""
+  UNION ALL SELECT 'rejected', r.* FROM rejected r JOIN lcp USING (conv_id) WHERE turn >= first_turn),
+turns AS (SELECT conv_id, part, turn, role, part <> 'prompt' AND coalesce(role = 'assistant', false) AS trained, {rendered} FROM parts),
+placed AS (SELECT *, sum(length(header) + length(body)) OVER (PARTITION BY conv_id, part ORDER BY {order} ROWS UNBOUNDED PRECEDING)::BIGINT AS ends FROM turns)
+SELECT conv_id, {text('prompt')}, {text('chosen')}, {text('rejected')}, {spans('chosen')}, {spans('rejected')} FROM placed GROUP BY conv_id
+UNION ALL SELECT conv_id, header || body, '', '', '', '' FROM (SELECT conv_id, {rendered} FROM conversations WHERE conv_id IS NULL)"""

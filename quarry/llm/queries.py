@@ -35,8 +35,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = preferences.stale_reply_pairs(table(spark, sf_dir, "conversations"))
-    return preferences.format_pairs(turns).withColumnRenamed("pair", "conv_id")
+    return preferences.examples(table(spark, sf_dir, "conversations"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

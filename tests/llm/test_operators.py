@@ -147,7 +147,14 @@ def test_preferences(spark):
     assert whole[1]["prompt"].count("<|im_start|>") == 3 and whole[1]["chosen"].startswith("<|im_start|>assistant\nb")
     for side in ("chosen", "rejected"):
         for r in whole.values():
-            assert all(r[side][s["end"] - 11 : s["end"]].endswith("<|im_end|>\n") for s in r[f"{side}_spans"])
+            cuts = [tuple(map(int, s.split(":"))) for s in r[f"{side}_spans"].split(",") if s]
+            bodies = [b for *_, b, trained in sorted(seen[r["pair"], side], key=lambda t: (t[0], t[1] or "", t[3])) if trained]
+            assert [r[side][a:b] for a, b in cuts] == bodies
+    made = preferences.examples(conv)
+    lone = sorted(r["prompt"] for r in made.where("conv_id is null").collect())
+    assert lone == ["<|im_start|>assistant\ny<|im_end|>\n", "<|im_start|>user\nx<|im_end|>\n"]
+    assert {r["conv_id"]: r["prompt"] for r in made.where("conv_id is not null").collect()} == {k: r["prompt"] for k, r in whole.items() if k is not None}
+    assert preferences.examples(conv.limit(0)).count() == 0
     assert preferences.format_pairs(preferences.stale_reply_pairs(conv.limit(0))).count() == 0
 
 
