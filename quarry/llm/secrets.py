@@ -9,6 +9,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.arrays import running
 from quarry.llm.common import written
 
 #: Base patterns by kind, in the order in which kinds are listed.
@@ -19,12 +20,11 @@ BASE = {
 }
 MIN_VALUE = 6
 #: What the models look at: unbroken runs of the characters of keys.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+MIN_RUN = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
 #: Candidates that are taken for ordinary in training: words of small letters. Others are still to be judged and teach nothing.
 IDENTIFIER = r"^[a-z]+([+/_=-]+[a-z]+)*$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Of ordinary text, this many documents or so train: a hash of the id picks them.
-SAMPLE = 5_000
 #: Log-likelihood ratio a character from which a candidate counts as random.
 MARGIN = 0.5
 #: Transitions that the single characters' shares count for in each row.
@@ -32,21 +32,31 @@ PRIOR = 10.0
 _SIZE = len(ALPHABET) + 1  # 0: the start of a string
 
 
+_SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
+
+
 def spans(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, match>> of the leftmost matches that don't
     overlap, in code points. What split() leaves between the matches gives their places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("match")))).alias("out"),
-        ),
-    )["out"]
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
-    return F.when(text.rlike(pattern), start).otherwise(empty)
+    ends = running(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: g + F.length(m)), lambda a, x: a + x, F.lit(0))
+    placed = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("match")))
+    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(_SPANS))
+
+
+def clear_of(tried: Column, base: Column) -> Column:
+    """The spans of ``tried`` that none of ``base`` overlaps. Both are put in
+    order once; a span is clear if no base span before it ends beyond its start
+    and none after it starts before its end."""
+    far = 2**31 - 1
+    both = F.array_sort(F.concat(base, tried))
+    is_base = lambda x: x["kind"] < len(BASE)
+    ended = running(F.transform(both, lambda x: F.when(is_base(x), x["end"]).otherwise(0)), F.greatest, F.lit(0))
+    begins = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(is_base(x), x["start"]).otherwise(far))), F.least, F.lit(far)))
+    rows = F.zip_with(F.zip_with(both, ended, lambda x, e: F.struct(x.alias("x"), e.alias("e"))), begins, lambda r, b: F.struct(r["x"].alias("x"), ((r["e"] <= r["x"]["start"]) & (b >= r["x"]["end"])).alias("clear")))
+    kept = F.transform(F.filter(rows, lambda r: r["clear"] & ~is_base(r["x"])), lambda r: r["x"])
+    return F.when(F.size(base) == 0, tried).when(F.size(tried) == 0, tried).otherwise(kept)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -57,18 +67,19 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 def pairs(s: Column) -> Column:
     """Cells of the transition table that a string passes."""
-    n = F.length(s)
-    code = lambda i: F.when(i < 1, 0).otherwise(F.instr(F.lit(ALPHABET), F.substring(s, i, F.lit(1))))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: code(i - 1) * _SIZE + code(i))).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    before = F.concat(F.array(F.lit(0)), codes)
+    return F.zip_with(F.slice(before, 1, F.size(codes)), codes, lambda a, b: a * _SIZE + b)
 
 
 def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
     """``(s)`` each -> ln P_random - ln P_ordinary of every transition.
 
-    The driver gets the counts of at most 68 * 68 * 2 transitions.
+    Equal strings are counted before they are taken apart. The driver gets the
+    counts of at most 68 * 68 * 2 transitions.
     """
-    cells = lambda df, label: df.select(F.lit(label).alias("label"), F.explode(pairs(F.col("s"))).alias("cell"))
-    counted = cells(random, 1).unionByName(cells(ordinary, 0)).groupBy("label", "cell").agg(F.count("*").alias("n"))
+    strings = random.select(F.lit(1).alias("label"), "s").unionByName(ordinary.select(F.lit(0).alias("label"), "s")).groupBy("label", "s").agg(F.count("*").alias("times"))
+    counted = strings.select("label", "times", F.explode(pairs(F.col("s"))).alias("cell")).groupBy("label", "cell").agg(F.sum("times").alias("n"))
     table = {(r["label"], r["cell"]): r["n"] for r in counted.collect()}
     out = []
     n = lambda label, a, b: table.get((label, a * _SIZE + b), 0)
@@ -83,32 +94,28 @@ def train(random: DataFrame, ordinary: DataFrame) -> list[float]:
     return out
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, sample: int = SAMPLE) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
     """One row a document: ``(id_col, spans)``, an array of (start, kind, end) by
     start, then kind: 0 assign, 1 access, 2 hex, 3 what the models add.
 
-    Labelled samples: the values and keys of the base matches in all documents
-    (random), and the words of about ``sample`` documents outside of base
-    matches and candidates (ordinary). The models look at every run of key characters that
+    Labelled samples, from all documents: the values and keys of the base matches
+    (random; values that are words of small letters teach nothing), and the runs of four key characters and more
+    outside of base matches and candidates (ordinary). The models look at every run of key characters that
     no base match overlaps. If no base match exists they have nothing to learn from, and
     add nothing. Null and empty texts have no spans. Repeated ids are rows of their own.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
     base = base_spans(F.col("text"))
-    named = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = named.withColumn("base", F.concat(*base.values())).withColumn("tried", spans(F.col("text"), CANDIDATE, len(BASE)))
-    clear = F.filter("tried", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = written(found.select("id", "base", clear.alias("tried"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("draw")))
+    rows = written(found.select("id", "base", clear_of(F.col("tried"), F.col("base")).alias("tried")))
     value = lambda x: F.when(x["kind"] == 0, F.regexp_extract(x["match"], BASE["assign"], 1)).otherwise(x["match"])
-    random = rows.select(F.explode(F.transform("base", value)).alias("s"))
-    total = rows.count()
-    drawn = named.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(1, total))) + 1)
+    random = rows.where(F.size("base") > 0).select(F.explode(F.transform("base", value)).alias("s")).where(~F.col("s").rlike(IDENTIFIER))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", BASE["assign"], " "), BASE["access"], " "), BASE["hex"], " ")
-    runs = drawn.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s"))
-    ordinary = runs.where(~F.col("s").rlike(f"^{CANDIDATE}$") | F.col("s").rlike(IDENTIFIER))
+    runs = named.select(F.explode(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("s"))
+    ordinary = runs.where((F.length("s") < MIN_RUN) | F.col("s").rlike(IDENTIFIER))
     ratio = F.from_json(F.lit(str(train(random, ordinary))), "array<double>")
     likely = lambda s: F.aggregate(pairs(s), F.lit(0.0), lambda x, c: x + F.element_at(ratio, c + 1)) / F.length(s)
-    none = F.array().cast(rows.schema["tried"].dataType)
+    none = F.array().cast(_SPANS)
     added = F.filter("tried", lambda c: likely(c["match"]) >= margin) if random.head(1) else none
     bare = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))
     return rows.select(F.col("id").alias(id_col), F.sort_array(F.transform(F.concat("base", added), bare)).alias("spans"))
