@@ -9,14 +9,16 @@ with it: their rows of settled keys need no more counting.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACE, ascii_lower, discard, fresh, written
 
 KEY = ["h1", "h2"]
+KEY_SCHEMA = "h1 long, h2 long"
 
 
 def line_key(line: Column) -> Column:
@@ -24,12 +26,60 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """Counts of documents per line key, in levels of sorted runs."""
+    """Counts of documents per line key, in levels of sorted runs.
 
-    def __init__(self, min_docs: int, fanout: int = 3):
-        self.min_docs, self.fanout = min_docs, fanout
+    With ``folder``, a path that all executors see, the runs stay there when
+    the application ends, and ``LineRuns(spark, folder=...)`` of a later one goes on from them: each
+    ``add()`` writes a new manifest, a small table of the runs that count, before the runs that it replaces are deleted.
+    The newest whole manifest is the state, so a driver that dies within ``add()`` loses that batch only.
+    Without a folder the runs are tables of ``written()``.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3, folder: str | None = None):
+        self.spark, self.min_docs, self.fanout, self.folder = spark, min_docs, fanout, folder
         self.levels: list[list[DataFrame]] = [[]]
         self.settled: DataFrame | None = None
+        self.version = -1
+        self._old: list[DataFrame] = []
+        if folder:
+            self._open()
+
+    def _open(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest-*/_SUCCESS")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        versions = [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found]
+        if not versions:
+            return
+        self.version = max(versions)
+        for r in self.spark.read.parquet(f"{self.folder}/manifest-{self.version}").orderBy("level", "run").collect():  # a row a run
+            run = self._table(r["run"], KEY_SCHEMA + ("" if r["level"] < 0 else ", docs long"))
+            if r["level"] < 0:
+                self.settled = run
+            else:
+                while len(self.levels) <= r["level"]:
+                    self.levels.append([])
+                self.levels[r["level"]].append(run)
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        run = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        run._quarry_path, run._run = f"{self.folder}/{name}", name
+        return run
+
+    def _written(self, df: DataFrame) -> DataFrame:
+        if not self.folder:
+            return written(df, sort=KEY)
+        name = f"run-{uuid.uuid4().hex}"
+        df.sortWithinPartitions(*KEY).write.parquet(f"{self.folder}/{name}")
+        return self._table(name, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema))
+
+    def _commit(self) -> None:
+        if self.folder:
+            runs = [(level, run._run) for level, own in enumerate(self.levels) for run in own] + ([(-1, self.settled._run)] if self.settled is not None else [])
+            self.version += 1
+            self.spark.createDataFrame(runs, "level int, run string").coalesce(1).write.parquet(f"{self.folder}/manifest-{self.version}")
+        for run in self._old:
+            discard(run)
+        self._old = []
 
     def _unsettled(self, run: DataFrame) -> DataFrame:
         return run if self.settled is None else run.join(self.settled, KEY, "left_anti")
@@ -37,7 +87,7 @@ class LineRuns:
     def add(self, keys: DataFrame) -> None:
         """``keys(h1, h2)``: a row for each document of the batch and key in it."""
         run = keys.groupBy(*KEY).agg(F.count("*").alias("docs"))
-        self.levels[0].append(written(self._unsettled(run), sort=KEY))
+        self.levels[0].append(self._written(self._unsettled(run)))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
@@ -45,24 +95,25 @@ class LineRuns:
             self.levels[level + 1].append(self._compact(self.levels[level]))
             self.levels[level] = []
             level += 1
+        self._commit()
 
     def _sum(self, runs: list[DataFrame]) -> DataFrame:
         return self._unsettled(reduce(DataFrame.unionByName, runs).groupBy(*KEY).agg(F.sum("docs").alias("docs")))
 
     def _compact(self, runs: list[DataFrame]) -> DataFrame:
-        whole = written(self._sum(runs), sort=KEY)
+        whole = self._written(self._sum(runs))
         new = whole.where(F.col("docs") >= self.min_docs).select(*KEY)
-        old, self.settled = self.settled, written(new if self.settled is None else self.settled.unionByName(new), sort=KEY)
-        rest = written(whole.where(F.col("docs") < self.min_docs), sort=KEY)
-        for run in (*runs, whole, *([old] if old is not None else [])):
-            discard(run)
+        old, self.settled = self.settled, self._written(new if self.settled is None else self.settled.unionByName(new))
+        rest = self._written(whole.where(F.col("docs") < self.min_docs))
+        self._old += [*runs, whole, *([old] if old is not None else [])]
         return rest
 
     def frequent(self) -> DataFrame:
         """Keys in at least ``min_docs`` documents of all batches."""
         runs = [run for level in self.levels for run in level]
         found = [self._sum(runs).where(F.col("docs") >= self.min_docs).select(*KEY)] if runs else []
-        return reduce(DataFrame.unionByName, found + ([self.settled] if self.settled is not None else []))
+        found += [self.settled] if self.settled is not None else []
+        return reduce(DataFrame.unionByName, found) if found else self.spark.createDataFrame([], KEY_SCHEMA)
 
 
 def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
@@ -77,7 +128,7 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     same = lambda x, y: (x["h1"] == y["h1"]) & (x["h2"] == y["h2"])
     marked = F.transform("lines", lambda x, k: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["at"].alias("at"), (~F.coalesce(same(x, F.get("lines", k - 1)), F.lit(False))).alias("first")))
     lines = written(of_doc.select("id", "text_hash", F.explode(marked).alias("x")).select("id", "text_hash", "x.*"))
-    runs = LineRuns(min_docs)
+    runs = LineRuns(docs.sparkSession, min_docs)
     firsts = lines.where("first").withColumn("batch", F.pmod(F.xxhash64("id", "text_hash"), F.lit(batches)))
     for k in range(batches):
         runs.add(firsts.where(F.col("batch") == k).select(*KEY))
