@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,31 +100,38 @@ def go_mod(files: DataFrame, content: str = "content") -> DataFrame:
     return items.select("path", "line", F.when((F.col("kind") == "require") & version.isNull(), "gap").otherwise(F.col("kind")).alias("kind"), package.alias("package"), version.alias("version"))
 
 
-def split_objects(text: str | None) -> Iterator[str]:
-    """Top-level JSON objects of concatenated or line-wise JSON."""
-    depth, start, quoted, escaped = 0, 0, False, False
-    for i, c in enumerate(text or ""):
-        if quoted:
-            quoted, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
-        elif c == '"':
-            quoted = depth > 0
-        elif c == "{":
-            start = start if depth else i
-            depth += 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                yield text[start : i + 1]
+#: What a scan for top-level objects has to look at: strings and braces.
+_MARKS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.DOTALL)
+
+
+def split_objects(text: str | None) -> list[str]:
+    """Top-level JSON objects of concatenated or line-wise JSON. Quotes count
+    within objects only; what stands between objects is skipped."""
+    out, depth, start, at = [], 0, 0, 0
+    text = text or ""
+    while True:
+        if not depth:
+            start = at = text.find("{", at)
+            if start < 0:
+                return out
+            depth, at = 1, at + 1
+        m = _MARKS.search(text, at)
+        if m is None:
+            return out
+        at = m.end()
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if not depth:
+            out.append(text[start:at])
 
 
 def concatenated_json(files: DataFrame, content: str = "content") -> DataFrame:
     """``(path, ordinal, object)``: each top-level object as text."""
 
-    @F.udf("array<string>")
-    def objects(text: str | None) -> list[str]:
-        return list(split_objects(text))
+    @F.arrow_udf("array<string>")
+    def objects(texts: pa.Array) -> pa.Array:
+        return pa.array([split_objects(t.as_py()) for t in texts], type=pa.list_(pa.string()))
 
-    return files.select("path", F.posexplode(objects(content)).alias("ordinal", "object"))
+    return files.select("path", F.posexplode(objects(F.col(content))).alias("ordinal", "object"))
 
 
 def routes(files: DataFrame, content: str = "content") -> DataFrame:
