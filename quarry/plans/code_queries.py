@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import batteries as B
+from quarry.functions import detectors as D
 from quarry.operators import patterns as P
 from quarry.plans.registry import query
 from quarry.sources import text as X
@@ -139,3 +140,48 @@ def build_flags(spark: SparkSession, d: str) -> DataFrame:
 FROM lines WHERE kind = 'manifest' AND regexp_matches(line_text, '^\\s*([A-Za-z0-9_.-]+)\\s*==\\s*([A-Za-z0-9_.-]+)')""")
 def pinned_requirements(spark: SparkSession, d: str) -> DataFrame:
     return X.requirements(code(spark, d).where("kind = 'manifest'")).select("path", "line", "package", "version")
+
+
+@query(f"WITH {CODE_LINES_SQL}, {_rules_sql(D.SECRETS, True)} SELECT path, line::INT AS line, title, cvss FROM lines JOIN rules ON regexp_matches(line_text, pattern)")
+def secret_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return P.scan(X.lines(code(spark, d)), D.SECRETS).select("path", "line", "title", "cvss")
+
+
+@query(f"WITH {CODE_LINES_SQL}, {_rules_sql(D.CONTAINERS, True)} SELECT path, line::INT AS line, title, cvss FROM lines JOIN rules ON regexp_matches(line_text, pattern) WHERE kind = 'compose'")
+def container_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return P.scan(X.lines(code(spark, d).where("kind = 'compose'")), D.CONTAINERS).select("path", "line", "title", "cvss")
+
+
+_LANGUAGES = [(k, r) for k, r in D.CRYPTO.items() if k in B.SUFFIXES]
+
+
+@query(f"WITH {CODE_LINES_SQL}, {_rules_sql({k: r for k, r in _LANGUAGES}, True)} SELECT path, line::INT AS line, title, cvss FROM lines JOIN rules ON of = kind AND regexp_matches(line_text, pattern)")
+def crypto_timing(spark: SparkSession, d: str) -> DataFrame:
+    return P.scan_by_language(X.lines(code(spark, d)), dict(_LANGUAGES), F.col("kind")).select("path", "line", "title", "cvss")
+
+
+@query(f"WITH {CODE_LINES_SQL}, {_rules_sql(D.INTEGERS)} SELECT path, line::INT AS line, title, cvss FROM lines JOIN rules ON of = kind AND regexp_matches(line_text, pattern)")
+def integer_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    return P.scan_by_language(X.lines(code(spark, d)), D.INTEGERS, F.col("kind"), any_case=False).select("path", "line", "title", "cvss")
+
+
+TARGET, GUARD = "open|query|send", "if |catch|rescue"
+
+
+@query(f"""WITH {CODE_LINES_SQL}, t AS (SELECT path, line FROM lines WHERE regexp_matches(line_text, '{TARGET}')), g AS (SELECT path, line AS gl FROM lines WHERE regexp_matches(line_text, '{GUARD}'))
+SELECT t.path, t.line::INT AS line, min(abs(gl - t.line))::INT AS distance FROM t JOIN g ON g.path = t.path GROUP BY t.path, t.line HAVING min(abs(gl - t.line)) > 3""")
+def unguarded_targets(spark: SparkSession, d: str) -> DataFrame:
+    own = X.lines(code(spark, d))
+    return P.far_from_guard(own.where(F.col("line_text").rlike(TARGET)), own.where(F.col("line_text").rlike(GUARD)), "path", 3)
+
+
+@query(f"""WITH {CODE_LINES_SQL} SELECT path, line::INT AS line, upper(regexp_extract(line_text, '(?i)([.])(get|post|put|patch|delete)[(]', 2)) AS method, regexp_extract(line_text, '[(]"([^"]+)"', 1) AS route FROM lines WHERE kind = 'go' AND regexp_matches(line_text, '[.](GET|Post)[(]"')""")
+def registered_routes(spark: SparkSession, d: str) -> DataFrame:
+    return X.routes(code(spark, d).where("kind = 'go'")).select("path", "line", "method", "route")
+
+
+@query(f"""WITH {CODE_SQL} SELECT count(*)::BIGINT AS files FROM code""")
+def source_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The tree's hash is independent of order; here its file count."""
+    own = code(spark, d).select("path", F.sha2("content", 256).alias("sha256"))
+    return X.tree_hash(own, "path", "sha256").select("files")

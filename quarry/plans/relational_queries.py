@@ -85,9 +85,10 @@ def repos_with_active_job(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").join(live, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def repos_without_job(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    held = table(spark, d, "orders").where("o_orderstatus = 'P'")
+    return table(spark, d, "customer").join(held, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query(f"WITH {JOBS_SQL} SELECT repo_id, count(*)::BIGINT AS active FROM jobs WHERE status = 'running' GROUP BY repo_id HAVING count(*) > 1")

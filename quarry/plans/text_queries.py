@@ -66,16 +66,6 @@ def prose_patterns(spark: SparkSession, d: str) -> DataFrame:
     return P.scan(_lines(spark, d), detectors.PROSE).select("doc_id", "line", "rule", "title", "cvss")
 
 
-@query(f"WITH {LINES_SQL}, {_rules_sql(detectors.SECRETS)} SELECT doc_id, line::INT AS line, title, cvss FROM lines JOIN rules ON regexp_matches(line_text, pattern, 'i')")
-def secret_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return P.scan(_lines(spark, d), detectors.SECRETS).select("doc_id", "line", "title", "cvss")
-
-
-@query(f"WITH {LINES_SQL}, {_rules_sql(detectors.CONTAINERS)} SELECT doc_id, line::INT AS line, title, cvss FROM lines JOIN rules ON regexp_matches(line_text, pattern, 'i')")
-def container_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return P.scan(_lines(spark, d), detectors.CONTAINERS).select("doc_id", "line", "title", "cvss")
-
-
 @query(f"""WITH {LINES_SQL}, {_rules_sql(detectors.PROSE)}, h AS (SELECT path, rule, title, line FROM lines JOIN rules ON regexp_matches(line_text, pattern, 'i')),
 a AS (SELECT *, row_number() OVER (PARTITION BY path, rule ORDER BY path, line) AS x FROM h), b AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY path, line) AS y FROM a WHERE x <= 2)
 SELECT path, line::INT AS line, rule FROM b WHERE y <= 5""")
@@ -89,7 +79,7 @@ def first_hit_per_file(spark: SparkSession, d: str) -> DataFrame:
     return P.first_in_file(P.scan(_lines(spark, d), detectors.PROSE), "path").select("path", "title", "line")
 
 
-SINK, SOURCE, GUARD = "licen[sc]e|copyright|@", "[0-9]", "(?i)all rights|http"
+SINK, SOURCE = "licen[sc]e|copyright|@", "[0-9]"
 
 
 @query(f"""WITH {LINES_SQL}, k AS (SELECT path, line FROM lines WHERE regexp_matches(line_text, '{SINK}', 'i')), s AS (SELECT path, line AS sl FROM lines WHERE regexp_matches(line_text, '{SOURCE}'))
@@ -100,13 +90,6 @@ def taint_proximity(spark: SparkSession, d: str) -> DataFrame:
     return P.near(sinks, sources, "path", 49, 10)
 
 
-@query(f"""WITH {LINES_SQL}, t AS (SELECT path, line FROM lines WHERE regexp_matches(line_text, '{SOURCE}')), g AS (SELECT path, line AS gl FROM lines WHERE regexp_matches(line_text, '{GUARD}'))
-SELECT t.path, t.line::INT AS line, min(abs(gl - t.line))::INT AS distance FROM t JOIN g ON g.path = t.path GROUP BY t.path, t.line HAVING min(abs(gl - t.line)) > 3""")
-def unguarded_targets(spark: SparkSession, d: str) -> DataFrame:
-    own = _lines(spark, d)
-    return P.far_from_guard(own.where(F.col("line_text").rlike(SOURCE)), own.where(F.col("line_text").rlike(GUARD)), "path", 3)
-
-
 @query(f"""WITH {LINES_SQL}, o AS (SELECT path, line FROM lines WHERE regexp_matches(line_text, '(?i)licen[sc]e') AND path NOT IN (SELECT path FROM lines WHERE regexp_matches(line_text, '(?i)warranty')))
 SELECT path, line::INT AS line FROM o QUALIFY row_number() OVER (PARTITION BY path ORDER BY line) <= 3""")
 def lifecycle_gaps(spark: SparkSession, d: str) -> DataFrame:
