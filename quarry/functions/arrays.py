@@ -8,6 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once. Within the functions that
+    Spark's array functions take, an expression from outside is computed for each entry; a bound one isn't."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running(values: Column, step: Callable[[Column, Column], Column], start: Column) -> Column:
     """Running fold of an array: entry i is ``step`` over ``start`` and the
     values up to i. Spark's functions on arrays can only build such a result by
@@ -18,12 +24,11 @@ def running(values: Column, step: Callable[[Column, Column], Column], start: Col
     size = 256
     grow = lambda a, x: F.concat(a, F.array(step(F.coalesce(F.try_element_at(a, F.lit(-1)), start), x)))
     fold = lambda xs: F.aggregate(xs, F.slice(F.array(start), 1, 0), grow)
-    n = F.size(values)
-    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda k: F.slice(values, k * size + 1, size))).otherwise(F.array(values))
-    within = F.transform(parts, fold)
-    ends = fold(F.transform(within, lambda p: F.coalesce(F.try_element_at(p, F.lit(-1)), start)))
-    whole = F.flatten(F.transform(within, lambda p, k: F.transform(p, lambda x: step(F.when(k == 0, start).otherwise(F.get(ends, k - 1)), x))))
-    return F.when(n <= size, fold(values)).otherwise(whole)
+    parts = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda k: fold(F.slice(v, k * size + 1, size)))
+    ends = lambda w: fold(F.transform(w, lambda p: F.element_at(p, -1)))
+    joined = lambda s: F.flatten(F.transform(s["w"], lambda p, k: bound(F.when(k == 0, start).otherwise(F.get(s["e"], k - 1)), lambda b: F.transform(p, lambda x: step(b, x)))))
+    long = lambda v: bound(parts(v), lambda w: bound(F.struct(w.alias("w"), ends(w).alias("e")), joined))
+    return bound(values, lambda v: F.when(F.size(v) > size, long(v)).otherwise(fold(v)))
 
 
 def line_breaks(s: Column) -> Column:
@@ -34,12 +39,13 @@ def match_lines(text: Column, pattern: str, unless: str | None = None) -> Column
     """The 1-based lines on which the matches of a pattern begin, in order.
     ``unless``: a match counts only if what follows it, up to the next one,
     doesn't begin with this pattern."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: line_breaks(p) + line_breaks(m))
-    past = running(steps, lambda a, x: a + x, F.lit(0))
-    placed = F.zip_with(found, past, lambda m, e: e - line_breaks(m) + 1)
-    if unless is not None:
-        follows = F.slice(pieces, 2, F.size(found))
-        placed = F.array_compact(F.zip_with(placed, follows, lambda at, p: F.when(~p.rlike(rf"\A(?:{unless})"), at)))
-    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast("array<int>"))
+    def placed(both: Column) -> Column:
+        found, pieces = both["found"], both["pieces"]
+        steps = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: line_breaks(p) + line_breaks(m))
+        at = F.zip_with(found, running(steps, lambda a, x: a + x, F.lit(0)), lambda m, e: e - line_breaks(m) + 1)
+        if unless is None:
+            return at
+        return F.array_compact(F.zip_with(at, F.slice(pieces, 2, F.size(found)), lambda n, p: F.when(~p.rlike(rf"\A(?:{unless})"), n)))
+
+    matched = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(text.rlike(pattern), bound(matched, placed)).otherwise(F.array().cast("array<int>"))
