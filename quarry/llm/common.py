@@ -4,10 +4,12 @@ their lineage, and safe column names."""
 from __future__ import annotations
 
 import atexit
-import shutil
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -19,35 +21,51 @@ from pyspark.sql import functions as F
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_local: dict[str, str] = {}
+_folders: dict[str, str] = {}
+_tables: list[DataFrame] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration() if spark._jsc is None else spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see.
+    """This application's own folder where the driver and every executor see it.
 
-    It is the one that the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder of its own.
+    It lies in the one that the cluster names in ``spark.checkpoint.dir``. Only a
+    local session without that setting gets a temporary folder. What is in it
+    goes when the driver's Python ends, or by ``release()``.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-    return _local[app]
+    if app not in _folders:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _folders[app] = f"{(named or tempfile.mkdtemp(prefix='quarry-')).rstrip('/')}/quarry-{app}"
+        atexit.register(release, spark, app)
+    return _folders[app]
+
+
+def release(spark: SparkSession, app: str | None = None) -> None:
+    """Delete all tables of ``written()`` that this application has left."""
+    folder = _folders.pop(app or spark.sparkContext.applicationId, None)
+    _tables.clear()
+    if folder:
+        with suppress(Exception):  # the JVM may have ended before
+            _delete(spark, folder)
 
 
 def written(df: DataFrame, *, sort: list[str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, lineage
     cut, and readable after any executor is lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
+    _tables.append(out)
     return out
 
 
@@ -55,9 +73,20 @@ def discard(df: DataFrame) -> None:
     """Delete a table of ``written()`` that nothing reads any more."""
     path = getattr(df, "_quarry_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        _tables[:] = [t for t in _tables if t._quarry_path != path]
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """On leaving, the tables written inside go, but for those in the list."""
+    kept: list[DataFrame] = []
+    before = {t._quarry_path for t in _tables}
+    yield kept
+    before |= {t._quarry_path for t in kept}
+    for t in list(_tables):
+        if t._quarry_path not in before:
+            discard(t)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +101,15 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def bounded_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let Spark send Python workers batches of some megabytes. It counts rows
+    only unless told otherwise, and 10,000 long texts at once are held by the
+    JVM, outside of its heap, and by the worker. A session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, most)
+
+
 def byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """A batch in slices of about ``most`` bytes of a column's text: what a
     worker makes of a slice doesn't grow with the rows that Spark sends at once.
@@ -84,6 +122,16 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iter
         at = past
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the machine. Spark keeps workers
+    of ended tasks for a minute, as many as ever ran at once; what each holds counts
+    towards its executor. To be called when a task is through with its batches."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else as it is. lower() is the fast way for a text
     of ASCII only; translate() leaves the letters beyond it alone."""

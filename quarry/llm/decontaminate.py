@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh
+from quarry.llm.common import bounded_batches, byte_slices, fresh, give_back, written
 
 #: Bytes that are part of a word after A-Z are lower-cased: digits, a-z and all beyond ASCII.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -44,14 +46,15 @@ class Automaton:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        self.items: list[set[str]] = [set() for _ in self.next]  # whose text has the state's runs
+        none: set[str] = set()
+        self.items: list[set[str]] = [set() if n >= window else none for n in self.length]  # whose text has the state's runs; shorter ones need no list
         own: list[list[tuple[int, str]]] = [[] for _ in self.next]  # short items that end here
         for item, ids in spelled:
             v = 0
             for c in ids:
                 v = self.next[v][c]
                 u = v
-                while u > 0 and item not in self.items[u]:
+                while self.length[u] >= window and item not in self.items[u]:
                     self.items[u].add(item)
                     u = self.link[u]
             if len(ids) < window:
@@ -162,47 +165,59 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items in blocks of ``block_words`` words at most; a longer item comes in
+    parts that overlap, so that every window is whole in one of them."""
     block: list[tuple[str, bytes]] = []
-    n = 0
+    n, most = 0, max(block_words, window)
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("binary"))
     for item, text in rows.toLocalIterator():
-        more = len(words_of(bytes(text)))
-        if block and n + more > block_words:
-            yield block
-            block, n = [], 0
-        block.append(("" if item is None else item, bytes(text)))
-        n += more
+        words = words_of(bytes(text))
+        for at in range(0, max(1, len(words) - window + 1), most - window + 1):
+            part = words[at : at + most]
+            if block and n + len(part) > block_words:
+                yield block
+                block, n = [], 0
+            block.append(("" if item is None else item, b" ".join(part)))
+            n += len(part)
     yield block
 
 
-def _matcher(docs: DataFrame, block: list[tuple[str, bytes]], text: Column, window: int) -> Column:
-    held = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
+def _lists(rows: list[list], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), values)
+
+
+def _found(rows: list[tuple[int, list[tuple[int, int]], set[str]]]) -> pa.Array:
+    spans, items = [r[1] for r in rows], [sorted(r[2]) for r in rows]
+    first, past = np.asarray([s for own in spans for s in own], dtype=np.int64).reshape(-1, 2).T
+    pairs = pa.StructArray.from_arrays([pa.array(first), pa.array(past)], names=["first", "past"])
+    names = pa.array([i for own in items for i in own], type=pa.string())
+    return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), _lists(spans, pairs), _lists(items, names)], names=["n_words", "spans", "items"])
+
+
+def _matcher(held: Broadcast, text: Column) -> Column:
+    def found(texts: pa.Array) -> pa.Array:
+        match = held.value.match
+        parts = [_found([match(t.as_py()) for t in some.column(0)]) for some in byte_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")]
+        return pa.concat_arrays(parts) if parts else pa.array([], type=_FOUND_ARROW)
 
     @F.arrow_udf(_FOUND)
-    def find(texts: pa.Array) -> pa.Array:
-        automaton = held.value
-        rows = []
-        for t in texts:
-            n, spans, items = automaton.match(t.as_py())
-            rows.append({"n_words": n, "spans": [{"first": s, "past": e} for s, e in spans], "items": sorted(items)})
-        return pa.array(rows, type=_FOUND_ARROW)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            yield from map(found, batches)
+        finally:
+            give_back()
 
     return find(text.cast("binary"))
 
 
-def _union(*parts: pa.Array) -> pa.Array:
+def _union(found: pa.Array) -> pa.Array:
     rows = []
-    for found in zip(*(p.to_pylist() for p in parts), strict=True):
-        spans = merged([(s["first"], s["past"]) for f in found for s in f["spans"]])
-        rows.append(
-            {
-                "n_words": found[0]["n_words"],
-                "spans": [{"first": s, "past": e} for s, e in spans],
-                "items": sorted({i for f in found for i in f["items"]}),
-            }
-        )
-    return pa.array(rows, type=_FOUND_ARROW)
+    for parts in found:
+        parts = parts.as_py()
+        spans = merged([(s["first"], s["past"]) for f in parts for s in f["spans"]])
+        rows.append((parts[0]["n_words"], spans, {i for f in parts for i in f["items"]}))
+    return _found(rows)
 
 
 def with_matches(
@@ -213,16 +228,32 @@ def with_matches(
     strings.
 
     A benchmark of any size is matched: its items are taken in blocks of at
-    most ``block_words`` words, each with an automaton of its own, and what
-    the blocks find is united. Null and empty texts have no words and match
+    most ``block_words`` words, each with an automaton of its own. If there is
+    more than one block, each has a pass of its own over the texts; its hits
+    are written and its broadcast is dropped before the next, and the hits of a
+    row are united at the end. So neither the driver nor a worker
+    holds more than one block. Null and empty texts have no words and match
     nothing; null items are left out; an empty benchmark matches nothing.
     """
-    cols = [_matcher(docs, block, F.col(text_col), window) for block in _blocks(benchmark, item_id, item_text, block_words)]
-    if len(cols) == 1:
-        return docs.withColumn(out, cols[0])
-    parts = [fresh(docs, f"{out}_{i}") for i in range(len(cols))]
-    wide = docs.withColumns(dict(zip(parts, cols, strict=True)))
-    return wide.withColumn(out, F.arrow_udf(_union, _FOUND)(*(F.col(p) for p in parts))).drop(*parts)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    hold = lambda block: spark.sparkContext.broadcast(Automaton(block, window))
+    blocks = _blocks(benchmark, item_id, item_text, block_words, window)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return docs.withColumn(out, _matcher(hold(first), F.col(text_col)))
+    row, own = fresh(docs, "match_row"), fresh(docs, "match_parts")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    passes = []
+    for block in chain([first, second], blocks):
+        held = hold(block)
+        hits = numbered.select(row, _matcher(held, F.col(text_col)).alias("m"))
+        # the first pass counts the words of every row
+        passes.append(written(hits if not passes else hits.where(F.size("m.spans") > 0)))
+        held.unpersist(blocking=True)
+    whole = reduce(DataFrame.unionByName, passes).groupBy(row).agg(F.collect_list("m").alias(own))  # an entry a block at most
+    return numbered.join(whole, row).withColumn(out, F.arrow_udf(_union, _FOUND)(F.col(own))).drop(row, own)
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -236,9 +267,21 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
+def _cut_all(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    try:
+        for texts, found in batches:
+            yield _cut(texts, found)
+    finally:
+        give_back()
+
+
 def _cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-    rows = zip(texts.to_pylist(), found.to_pylist(), strict=True)
-    return pa.array([t if t is None or not f else without_spans(t, [(s["first"], s["past"]) for s in f]).decode() for t, f in rows], type=pa.string())
+    out = []
+    for some in byte_slices(pa.RecordBatch.from_arrays([texts, found], names=["text", "spans"]), "text"):
+        rows = zip(some.column("text"), some.column("spans"), strict=True)
+        kept = [t.as_py() if not f else without_spans(t.as_py(), [(s["first"], s["past"]) for s in f]) for t, f in ((t, f.as_py()) for t, f in rows)]
+        out.append(pa.array(kept, type=pa.binary()).cast(pa.string()))
+    return pa.concat_arrays(out) if out else pa.array([], type=pa.string())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max_coverage: float = 0.5, window: int = 10, **names: object) -> DataFrame:
@@ -252,5 +295,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     hit = F.aggregate(F.col(m)["spans"], F.lit(0).cast("long"), lambda n, s: n + s["past"] - s["first"])
     found = with_matches(docs, benchmark, m, text_col=text_col, window=window, **names)
     kept = found.where(hit <= max_coverage * F.col(m)["n_words"])
-    clean = F.when(F.size(F.col(m)["spans"]) > 0, F.arrow_udf(_cut, "string")(F.col(text_col).cast("binary"), F.col(m)["spans"])).otherwise(F.col(text_col))
+    clean = F.when(F.size(F.col(m)["spans"]) > 0, F.arrow_udf(_cut_all, "string")(F.col(text_col).cast("binary"), F.col(m)["spans"])).otherwise(F.col(text_col))
     return kept.withColumn(text_col, clean).select(*docs.columns)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_crc32
+from quarry.llm.common import bounded_batches, byte_slices, give_back, id_crc32
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
@@ -133,18 +133,22 @@ def language_column(model: Model, text: Column, spark) -> Column:
     held = spark.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
+    def predicted(texts: list[str | None]) -> pa.Array:
+        m = held.value
+        if not m.languages:
+            return pa.array([{"lang": "und", "score": 0.0}] * len(texts), type=kind)
+        best, p = _posterior(m.score(texts))
+        known = [bool(t and _LETTER.search(t)) for t in texts]
+        return pa.array([{"lang": m.languages[b], "score": float(s)} if k else {"lang": "und", "score": 0.0} for k, b, s in zip(known, best, p, strict=True)], type=kind)
+
     @F.arrow_udf("struct<lang:string,score:double>")
-    def predict(texts: pa.Array) -> pa.Array:
-        m, out = held.value, []
-        for at in range(0, len(texts), 512):
-            some = texts.slice(at, 512).to_pylist()
-            if not m.languages:
-                out += [{"lang": "und", "score": 0.0}] * len(some)
-                continue
-            best, p = _posterior(m.score(some))
-            for t, b, s in zip(some, best, p, strict=True):
-                out.append({"lang": m.languages[b], "score": float(s)} if t and _LETTER.search(t) else {"lang": "und", "score": 0.0})
-        return pa.array(out, type=kind)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                parts = [predicted(some.column(0).to_pylist()) for some in byte_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", _BLOCK)]
+                yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+        finally:
+            give_back()
 
     return predict(text)
 
@@ -156,6 +160,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     language train. A null id is in neither fold's remainder 0: held_out is
     false and it doesn't train. Repeated rows are rows of their own.
     """
+    bounded_batches(docs.sparkSession)
     rest = F.pmod(id_crc32(id_col), F.lit(5))
     model = train(docs.where(rest != 0), text_col=text_col, lang_col=lang_col, id_col=id_col, sample=sample)
     found = language_column(model, F.col(text_col), docs.sparkSession)

@@ -12,6 +12,7 @@ every connection, with no list of all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import bounded_batches, give_back, written
 from quarry.llm.components import components
 
 SEED = 42
@@ -46,8 +47,12 @@ def fingerprint(text: bytes | None, words_per_shingle: int, seed: int = SEED) ->
 
 def fingerprint_column(text: Column, words_per_shingle: int) -> Column:
     @F.arrow_udf("long")
-    def simhash(texts: pa.Array) -> pa.Array:
-        return pa.array((fingerprint(t.as_py(), words_per_shingle) for t in texts), type=pa.int64())
+    def simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield pa.array((fingerprint(t.as_py(), words_per_shingle) for t in texts), type=pa.int64())
+        finally:
+            give_back()
 
     return simhash(text.cast("binary"))
 
@@ -82,6 +87,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     never name it, unless they are all it has (component_id null). An empty
     table gives no rows. Other columns of ``docs`` are not read.
     """
+    bounded_batches(docs.sparkSession)
     prints = written(
         docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), words_per_shingle).alias("fp"))
     )

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import byte_slices, ranked, written
+from quarry.llm.common import bounded_batches, byte_slices, give_back, ranked, written
 
 END = 2
 _KEPT = 1_000_000  # spellings after which a task forgets and starts anew: about 30 MB
@@ -261,21 +261,16 @@ def pieces_of(ids: bytes, size: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def tokenised(docs: DataFrame, tokenizer_path: str, size: int, with_ids: bool) -> DataFrame:
     """``docs(id, text)`` -> a row a piece: ``(id, piece, start, length,
     ids_crc32)`` and, on request, the ids. Texts are taken a few megabytes at a
-    time; a worker forgets its spellings when its task ends."""
+    time; a worker drops its encoder when its task ends."""
     more = ", ids array<bigint>" if with_ids else ""
     schema = f"id {docs.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint{more}"
     end = np.asarray([END], dtype="<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = Encoder(tokenizer_path)
-        encoder = _encoders[tokenizer_path]
+        encoder = Encoder(tokenizer_path)
         try:
             for batch in batches:
                 for some in byte_slices(batch, "text"):
@@ -289,8 +284,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, size: int, with_ids: bool) -
                         columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat)))
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
         finally:
-            encoder.forget()
-            pa.default_memory_pool().release_unused()
+            del encoder
+            give_back()
 
     return docs.mapInArrow(pieces, schema)
 
@@ -362,12 +357,14 @@ def pack(
     2 * size * log2(size) rows (20,480) whatever the corpus, and is broadcast.
     """
     spark: SparkSession = docs.sparkSession
-    pieces = written(tokenised(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer_path, size, with_ids))
+    bounded_batches(spark)
+    made = tokenised(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer_path, size, with_ids)
+    pieces = written(made.withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     slots = spark.createDataFrame(
         plan(histogram, size), "slot_length bigint, first_rank bigint, past_rank bigint, first_bin bigint, per_bin bigint, slot_offset bigint"
     )
-    placed = ranked(pieces, "length", ["id", "piece", "ids_crc32"], "rank", sum(histogram.values()))
+    placed = ranked(pieces, "length", ["row"], "rank", sum(histogram.values()))
     here = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("past_rank"))
     nth = F.col("rank") - F.col("first_rank")
     return placed.join(F.broadcast(slots), here).select(

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_crc32
+from quarry.llm.common import bounded_batches, byte_slices, fresh, give_back, id_crc32
 
 WORDS = 1 << 12
 RANK = 8
 #: Labelled documents per class that train, about: a hash of the id picks them.
 SAMPLE = 2_000
-_BLOCK = 1 << 20  # bytes handled at once
+_BLOCK = 1 << 18  # bytes handled at once
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint64)
 _CLASSES = {
@@ -175,10 +175,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     The weights of the classes restore their shares among all labelled
     rows. The driver gets the features of the sample (at most 4,096 a
-    document), never a text. The drawn ids, about
-    twice ``sample`` whatever the corpus, are broadcast. Null labels and ids are left out; a
-    repeated label counts once; labels without a document
-    and documents without a label don't count. With one class or none the model
+    document), never a text. The drawn ids, about twice ``sample`` whatever the
+    corpus, are broadcast. Null labels and ids are left out; a repeated label
+    counts once; of documents that repeat an id the least text trains; labels
+    without a document and documents without a label don't count. With one class or none the model
     scores all alike: 1, 0, or without any label 0.5.
     """
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).alias("y")).distinct()
@@ -188,7 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     chars = F.col(chars_col).cast("long") if chars_col in docs.columns else F.lit(None).cast("long")
     mine = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), chars.alias("n"))
     sparse = F.arrow_udf(_sparse, "struct<cols:array<int>,vals:array<float>,stats:array<double>>")
-    got = mine.join(F.broadcast(drawn), "id").select("id", "y", sparse("text", "n").alias("f")).select("id", "y", "f.*").toArrow()
+    one = mine.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min(F.struct("text", "n")).alias("d"))  # of rows that repeat an id, one
+    got = one.select("id", "y", sparse("d.text", "d.n").alias("f")).select("id", "y", "f.*").toArrow()
     got = got.sort_by([("id", "ascending"), ("y", "ascending")])
     labels_ = np.array(got.column("y").to_pylist(), dtype=np.float32)
     flat = Model(float(np.clip((rows.get(True, 0) - rows.get(False, 0)) * 1e9, -40, 40)), np.zeros(WORDS + len(STATS)), np.zeros((WORDS + len(STATS), RANK)), np.zeros(len(STATS)), np.ones(len(STATS)))
@@ -204,29 +205,48 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 def score_column(model: Model, text: Column, n_chars: Column, spark) -> Column:
     held = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
-    def score(texts: pa.Array, chars: pa.Array) -> pa.Array:
-        out = []
-        for at in range(0, len(texts), 512):
-            out.append(held.value.score(*features(texts.slice(at, 512).to_pylist(), chars.slice(at, 512).to_pylist())))
+    def scored(texts: pa.Array, chars: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts, chars], names=["text", "chars"])
+        out = [held.value.score(*features(some.column("text").to_pylist(), some.column("chars").to_pylist())) for some in byte_slices(batch, "text", _BLOCK)]
         return pa.array(np.concatenate(out) if out else np.zeros(0), type=pa.float64())
 
+    @F.arrow_udf("double")
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            for texts, chars in batches:
+                yield scored(texts, chars)
+        finally:
+            give_back()
+
     return score(text.cast("binary"), n_chars.cast("long"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", threshold: float = 0.7) -> DataFrame:
-    """``docs`` with held_out, score and predicted after its own columns.
+def with_scores(docs: DataFrame, labels: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", threshold: float = 0.7) -> DataFrame:
+    """``docs`` and a struct column ``out``: held_out, score, predicted.
 
     Labels train from ids with crc32(id as text) mod 4 other than 2. Every row
     gets a score: null and empty texts have no words and are scored by their
-    statistics. A null id isn't held out. Names that ``docs`` has already are
-    replaced.
+    statistics. A null id isn't held out.
     """
+    bounded_batches(docs.sparkSession)
     rest = F.pmod(id_crc32(id_col), F.lit(4))
     model = train(docs, labels.where(rest != 2), id_col=id_col, text_col=text_col, chars_col=chars_col)
     chars = F.col(chars_col) if chars_col in docs.columns else F.lit(None)
     score = score_column(model, F.col(text_col), chars, docs.sparkSession)
-    own = docs.select("*", F.struct(F.coalesce(rest == 2, F.lit(False)).alias("held_out"), score.alias("score")).alias("fm scores"))
-    return own.withColumns(
-        {"held_out": F.col("fm scores.held_out"), "score": F.col("fm scores.score"), "predicted": (F.col("fm scores.score") >= threshold).cast("int")}
-    ).drop("fm scores")
+    scored = docs.withColumn(out, F.struct(F.coalesce(rest == 2, F.lit(False)).alias("held_out"), score.alias("score")))
+    s = F.col(out)["score"]
+    return scored.withColumn(out, F.struct(F.col(out)["held_out"].alias("held_out"), s.alias("score"), (s >= threshold).cast("int").alias("predicted")))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **names: object) -> DataFrame:
+    """One row a document: ``(id_col, held_out, score, predicted)``, as
+    ``with_scores()`` has them; repeated ids are rows of their own."""
+    own = fresh(docs, "scored")
+    return with_scores(docs, labels, own, id_col=id_col, **names).select(id_col, f"{own}.*")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **names: object) -> DataFrame:
+    """The rows of ``docs`` that are predicted good, with its own columns,
+    whatever they are called."""
+    own = fresh(docs, "scored")
+    return with_scores(docs, labels, own, **names).where(F.col(own)["predicted"] == 1).drop(own)
