@@ -26,13 +26,38 @@ CRYPTO = {
         (r"Math\.random\s*\(\)", "Math.random() for security use", 7.5),
         (r"createHash\s*\(\s*['\"](?:md5|sha1)['\"]", "Weak hash algorithm", 5.5),
     ],
+    "java": [
+        (r"\.equals\s*\(\s*(?:token|secret|password|apiKey|hmac|hash|mac|signature)", "Non-constant-time comparison via String.equals()", 7.0),
+        (r"new\s+Random\s*\(\)", "java.util.Random for security use", 6.5),
+        (r"getInstance\s*\(\s*['\"](?:MD5|SHA-1)['\"]", "Weak hash algorithm", 5.5),
+    ],
     "go": [
         (r"==\s*(?:token|secret|password|apiKey|hmac|hash|mac|signature)", "Non-constant-time comparison on secret", 7.0),
         (r"math/rand", "math/rand for security use", 6.5),
     ],
+    "c/cpp": [
+        (r"strcmp\s*\(\s*\w*(token|secret|password|key|hash|mac|hmac|nonce)", "strcmp on secret value - timing side-channel", 7.5),
+        (r"memcmp\s*\(\s*\w*(token|secret|password|key|hash|mac|hmac)", "memcmp on secret - timing side-channel", 7.0),
+        (r"\brand\s*\(\s*\)", "rand() for security use", 7.0),
+        (r"srand\s*\(\s*time\s*\(", "srand(time()) - predictable seed", 7.5),
+    ],
+    "php": [
+        (r"===?\s*\$(?:token|secret|password|api_key|hmac|hash|mac|signature)", "Non-constant-time comparison on secret", 7.0),
+        (r"\brand\s*\(\s*\)|mt_rand\s*\(\s*\)", "Weak PRNG for security use", 6.5),
+    ],
 }
 #: Integer boundaries, by language.
 INTEGERS = {
+    "c/cpp": [
+        (r"\batoi\s*\(", "Unchecked atoi() - no range validation on converted integer", 7.0),
+        (r"\bstrtol\s*\([^)]+\)\s*;", "strtol() without errno/range check", 6.5),
+        (r"\(\s*(int|short|char)\s*\)\s*\w+", "Narrowing integer cast - potential truncation", 6.0),
+        (r"\(\s*size_t\s*\)\s*\w+", "Cast to size_t - negative value becomes huge unsigned", 7.5),
+        (r"\bmalloc\s*\([^)]*\*[^)]*\)", "malloc with multiplication - potential integer overflow in size", 8.0),
+        (r"\brealloc\s*\([^)]+\)\s*;", "realloc() return value unchecked - may return NULL on failure", 7.0),
+        (r"\blen\s*[-+]\s*\d+", "Arithmetic on length variable - potential off-by-one or underflow", 6.5),
+        (r"if\s*\([^)]*<\s*0[^)]*\)", "Signed comparison on potentially unsigned value", 5.5),
+    ],
     "python": [
         (r"\bint\s*\(\s*(request|params|args|input|sys\.argv)", "Unchecked int() from untrusted input", 6.0),
         (r"\brange\s*\(\s*int\s*\(", "range() with user-controlled size - potential DoS", 5.5),
@@ -42,6 +67,15 @@ INTEGERS = {
         (r"\bint\(\w+\)", "Type cast to int - potential truncation on 32-bit", 5.5),
         (r"\bmake\s*\([^,]+,\s*\w+\)", "make() with user-controlled size - potential DoS or overflow", 6.5),
     ],
+    "java": [
+        (r"Integer\.parseInt\s*\(", "parseInt without try-catch or range validation", 5.5),
+        (r"\(int\)\s*\w+", "Narrowing cast to int - potential truncation from long", 6.0),
+        (r"\bnew\s+byte\s*\[\s*\w+", "Array allocation with variable size - unchecked bounds", 6.5),
+    ],
+    "php": [
+        (r"\bintval\s*\(\s*\$", "intval on user input without validation", 5.5),
+        (r"\(int\)\s*\$", "Cast to int from user data", 5.5),
+    ],
 }
 #: Containers, any case.
 CONTAINERS = [
