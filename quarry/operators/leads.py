@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.sources.scratch import saved
+from quarry.sources.scratch import dropped, saved
 
 
 def greedy_assignment(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -24,8 +24,11 @@ def greedy_assignment(pairs: DataFrame, left: str, right: str) -> DataFrame:
         kept = asked.groupBy(right).agg(F.min(left).alias(left))
         refused = saved(asked.join(kept, [left, right], "left_anti"))
         if refused.isEmpty():
+            dropped(left_over, refused)
             return asked
-        left_over = saved(left_over.join(refused, [left, right], "left_anti"))
+        rest = saved(left_over.join(refused, [left, right], "left_anti"))
+        dropped(left_over, asked, refused)
+        left_over = rest
 
 
 def status_note(expected: Column, got: Column) -> Column:

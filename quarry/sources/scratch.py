@@ -20,4 +20,13 @@ def saved(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: later steps don't compute it again, and a lost executor takes nothing along."""
     path = f"{folder(df.sparkSession)}/quarry-step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``saved()`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
