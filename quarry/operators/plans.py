@@ -35,3 +35,16 @@ def owned_by(files: DataFrame, path: str, owners: DataFrame, owner: str) -> Data
     asked = files.select(F.col(path).alias("p_"), F.explode(folders).alias(owner)).where(F.col(owner) != F.col("p_"))
     best = asked.join(owners.select(owner).distinct(), owner).groupBy("p_").agg(F.max_by(owner, F.length(owner)).alias(owner))
     return files.join(best, F.col(path) == F.col("p_"), "left").drop("p_")
+
+
+def zero_filled(dimension: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """``(key, n, covered, covered_pct)`` for every row of a small dimension."""
+    wide = dimension.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("covered", F.col("n") > 0)
+    share = wide.agg(F.bround(100.0 * F.count_if("covered") / F.greatest(F.count("*"), F.lit(1)), 1).alias("covered_pct"))
+    return wide.crossJoin(F.broadcast(share))  # share: one row
+
+
+def latest_with(jobs: DataFrame, group: str, order: str, sources: list[Column], out: str) -> DataFrame:
+    """``(group, order, out)``: the newest job with a value, its first source that isn't empty."""
+    found = F.coalesce(*(F.nullif(s, F.lit("")) for s in sources))
+    return jobs.withColumn(out, found).where(F.col(out).isNotNull()).groupBy(group).agg(F.max(order).alias(order), F.max_by(out, order).alias(out))

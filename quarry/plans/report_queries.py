@@ -67,3 +67,36 @@ SELECT owner, kind, count(*)::BIGINT AS files FROM code LEFT JOIN b USING (path)
 def component_rollup(spark: SparkSession, d: str) -> DataFrame:
     owners = spark.createDataFrame([(x,) for x in _OWNERS], "owner string")
     return P.owned_by(code(spark, d).select("path", "kind"), "path", owners, "owner").groupBy("owner", "kind").agg(F.count("*").alias("files"))
+
+
+_MANIFEST = """concat('{"findings": [{"id": ', CAST(o_orderkey % 100 + 1 AS STRING), ', "eligible": true}, {"id": ', CAST(o_orderkey * 7 % 100 + 1 AS STRING), ', "eligible": ', CASE WHEN o_orderkey % 3 = 0 THEN 'false' ELSE 'true' END, '}, null]}')"""
+
+
+@query("""SELECT DISTINCT finding_id, report_id FROM (SELECT o_orderkey % 100 + 1 AS finding_id, o_orderkey AS report_id FROM orders UNION ALL SELECT o_orderkey * 7 % 100 + 1, o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) WHERE finding_id IN (SELECT p_partkey FROM part)""")
+def report_links(spark: SparkSession, d: str) -> DataFrame:
+    """Which reports list a finding as eligible; a row a link, so a finding of many reports is no large group."""
+    reports = table(spark, d, "orders").selectExpr("o_orderkey AS report_id", f"{_MANIFEST} AS manifest")
+    listed = reports.select("report_id", F.explode(F.from_json("manifest", "findings array<struct<id:bigint,eligible:boolean>>")["findings"]).alias("f")).where("f.eligible")
+    return listed.select(F.col("f.id").alias("finding_id"), "report_id").join(leads(spark, d).select(F.col("id").alias("finding_id")), "finding_id", "left_semi").distinct()
+
+
+_AREAS = [f"A{i:02d}" for i in range(1, 11)]
+
+
+@query(f"""WITH {LEADS_SQL}, a(area) AS (VALUES {', '.join(f"('{x}')" for x in _AREAS)}), n AS (SELECT concat('A', lpad((id % 7 + 1)::VARCHAR, 2, '0')) AS area, count(*) AS n FROM leads GROUP BY 1)
+SELECT area, coalesce(n, 0)::BIGINT AS n, coalesce(n, 0) > 0 AS covered, round_even(100.0::DOUBLE * count(n) OVER () / count(*) OVER (), 1) AS covered_pct FROM a LEFT JOIN n USING (area)""")
+def coverage_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Every category, those without a lead as 0, and the share that is covered."""
+    own = leads(spark, d).select(F.concat(F.lit("A"), F.lpad((F.col("id") % 7 + 1).cast("string"), 2, "0")).alias("area"))
+    areas = spark.createDataFrame([(x,) for x in _AREAS], "area string")
+    return P.zero_filled(areas, own.groupBy("area").agg(F.count("*").alias("n")), "area")
+
+
+_REVISION = {"captured": "CASE WHEN o_orderkey % 4 = 0 THEN concat('c', CAST(o_orderkey AS STRING)) ELSE '' END", "output": "CASE o_orderkey % 5 WHEN 0 THEN concat('{\"target\": {\"revision\": \"j', CAST(o_orderkey AS STRING), '\"}}') WHEN 1 THEN '{broken' ELSE '{}' END", "observed": "CASE WHEN o_orderkey % 7 = 0 THEN concat('o', CAST(o_orderkey AS STRING)) END"}
+
+
+@query(f"""WITH r AS (SELECT o_custkey % 50 AS repo_id, o_orderkey AS id, coalesce(nullif({_REVISION['captured']}, ''), CASE WHEN o_orderkey % 5 = 0 THEN concat('j', o_orderkey) END, {_REVISION['observed']}) AS revision FROM orders)
+SELECT repo_id, max(id) AS id, arg_max(revision, id) AS revision FROM r WHERE revision IS NOT NULL GROUP BY repo_id""")
+def latest_revisions(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "orders").selectExpr("o_custkey % 50 AS repo_id", "o_orderkey AS id", *(f"{e} AS {c}" for c, e in _REVISION.items()))
+    return P.latest_with(jobs, "repo_id", "id", [F.col("captured"), F.get_json_object("output", "$.target.revision"), F.col("observed")], "revision")
