@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Bookkeeping that doesn't belong into prose, any case. Fixed values.
-NOISE = r"(AISH\s*CONFIRMED\s*\|?)|(Harness iteration\s*\d+\s*\|?)|(Gates?\s*:\s*(passed|pass|ok)\b\.?)|(\bqualification\s*[:=]\s*\S+)|(\bconviction[_ ]level\s*[:=]\s*\d+)"
+#: What an engine signs its confirmations with; a parameter of ``clean_prose()``.
+ENGINE = "ENGINE"
+#: Other bookkeeping that doesn't belong into prose, any case. Fixed values.
+NOISE = r"(Harness iteration\s*\d+\s*\|?)|(Gates?\s*:\s*(passed|pass|ok)\b\.?)|(\bqualification\s*[:=]\s*\S+)|(\bconviction[_ ]level\s*[:=]\s*\d+)"
 #: Names before an equals sign that are no parameters. Fixed values.
 NO_PARAMETER = ["get", "post", "put", "delete", "patch", "http", "https", "user", "input", "the", "arg", "field"]
 DOMAIN = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)*\.[a-z]{2,63}"
 
 
-def clean_prose(text: Column) -> Column:
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?i){NOISE}", "")
+def noise(engine: str = ENGINE) -> str:
+    return rf"(?i)({engine}\s*CONFIRMED\s*\|?)|{NOISE}"
+
+
+def clean_prose(text: Column, engine: str = ENGINE) -> Column:
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), noise(engine), "")
     for pattern, to in ((r"\|\s*\|", "|"), (r"^\s*[|·]\s*", ""), (r"\s*[|·]\s*$", ""), (r"[ \t]{2,}", " ")):
         out = F.regexp_replace(out, pattern, to)
     return F.btrim(out, F.lit(" |·\n\t"))

@@ -12,11 +12,11 @@ from quarry.sources.code import CODE_SQL, code
 from quarry.sources.leads import LEADS_SQL, leads
 from quarry.sources.tables import table
 
-_PROSE = "concat(CASE p_partkey % 4 WHEN 0 THEN 'AISH CONFIRMED | ' WHEN 1 THEN 'Harness iteration 3 | ' WHEN 2 THEN '| ' ELSE '' END, 'POST to /api/v1/items  by ', p_name, CASE p_partkey % 3 WHEN 0 THEN ' conviction_level=2' WHEN 1 THEN ' user=1 q=2 | qualification: QUALIFIED' ELSE ' parameter: page |' END)"
-_N = R.NOISE.replace("'", "''")
+_PROSE = "concat(CASE p_partkey % 4 WHEN 0 THEN 'ENGINE CONFIRMED | ' WHEN 1 THEN 'Harness iteration 3 | ' WHEN 2 THEN '| ' ELSE '' END, 'POST to /api/v1/items  by ', p_name, CASE p_partkey % 3 WHEN 0 THEN ' conviction_level=2' WHEN 1 THEN ' user=1 q=2 | qualification: QUALIFIED' ELSE ' parameter: page |' END)"
+_N = R.noise().replace("'", "''")
 
 
-@query(f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_PROSE}, '(?i){_N}', '', 'g'), '\\|\\s*\\|', '|', 'g'), '^\\s*[|·]\\s*', '', 'g'), '\\s*[|·]\\s*$', '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), ' |·' || chr(10) || chr(9)) AS prose FROM part""")
+@query(f"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_PROSE}, '{_N}', '', 'g'), '\\|\\s*\\|', '|', 'g'), '^\\s*[|·]\\s*', '', 'g'), '\\s*[|·]\\s*$', '', 'g'), '[ \\t]{{2,}}', ' ', 'g'), ' |·' || chr(10) || chr(9)) AS prose FROM part""")
 def cleaned_prose(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", R.clean_prose(F.expr(_PROSE)).alias("prose"))
 
