@@ -9,7 +9,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.arrays import running
+from quarry.functions.arrays import bound, running
 from quarry.llm.common import written
 
 #: Base patterns by kind, in the order in which kinds are listed.
@@ -38,11 +38,13 @@ _SPANS = "array<struct<start:int,kind:int,end:int,match:string>>"
 def spans(text: Column, pattern: str, kind: int) -> Column:
     """array<struct<start, kind, end, match>> of the leftmost matches that don't
     overlap, in code points. What split() leaves between the matches gives their places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    ends = running(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: g + F.length(m)), lambda a, x: a + x, F.lit(0))
-    placed = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("match")))
-    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(_SPANS))
+    def placed(both: Column) -> Column:
+        found, gaps = both["found"], both["gaps"]
+        ends = running(F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: g + F.length(m)), lambda a, x: a + x, F.lit(0))
+        return F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("match")))
+
+    matched = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.transform(F.split(text, pattern, -1), F.length).alias("gaps"))
+    return F.when(text.rlike(pattern), bound(matched, placed)).otherwise(F.array().cast(_SPANS))
 
 
 def clear_of(tried: Column, base: Column) -> Column:
@@ -50,13 +52,16 @@ def clear_of(tried: Column, base: Column) -> Column:
     order once; a span is clear if no base span before it ends beyond its start
     and none after it starts before its end."""
     far = 2**31 - 1
-    both = F.array_sort(F.concat(base, tried))
     is_base = lambda x: x["kind"] < len(BASE)
-    ended = running(F.transform(both, lambda x: F.when(is_base(x), x["end"]).otherwise(0)), F.greatest, F.lit(0))
-    begins = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(is_base(x), x["start"]).otherwise(far))), F.least, F.lit(far)))
-    rows = F.zip_with(F.zip_with(both, ended, lambda x, e: F.struct(x.alias("x"), e.alias("e"))), begins, lambda r, b: F.struct(r["x"].alias("x"), ((r["e"] <= r["x"]["start"]) & (b >= r["x"]["end"])).alias("clear")))
-    kept = F.transform(F.filter(rows, lambda r: r["clear"] & ~is_base(r["x"])), lambda r: r["x"])
-    return F.when(F.size(base) == 0, tried).when(F.size(tried) == 0, tried).otherwise(kept)
+
+    def kept(both: Column) -> Column:
+        ended = running(F.transform(both, lambda x: F.when(is_base(x), x["end"]).otherwise(0)), F.greatest, F.lit(0))
+        begins = F.reverse(running(F.reverse(F.transform(both, lambda x: F.when(is_base(x), x["start"]).otherwise(far))), F.least, F.lit(far)))
+        rows = F.zip_with(F.zip_with(both, ended, lambda x, e: F.struct(x.alias("x"), e.alias("e"))), begins, lambda r, b: F.struct(r["x"].alias("x"), ((r["e"] <= r["x"]["start"]) & (b >= r["x"]["end"])).alias("clear")))
+        return F.transform(F.filter(rows, lambda r: r["clear"] & ~is_base(r["x"])), lambda r: r["x"])
+
+    either = (F.size(base) == 0) | (F.size(tried) == 0)
+    return F.when(either, tried).otherwise(bound(F.array_sort(F.concat(base, tried)), kept))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -106,8 +111,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mar
     """
     base = base_spans(F.col("text"))
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = named.withColumn("base", F.concat(*base.values())).withColumn("tried", spans(F.col("text"), CANDIDATE, len(BASE)))
-    rows = written(found.select("id", "base", clear_of(F.col("tried"), F.col("base")).alias("tried")))
+    seen = F.struct(F.concat(*base.values()).alias("base"), spans(F.col("text"), CANDIDATE, len(BASE)).alias("tried"))
+    found = named.select("id", bound(seen, lambda s: F.struct(s["base"].alias("base"), clear_of(s["tried"], s["base"]).alias("tried"))).alias("s"))
+    rows = written(found.select("id", "s.base", "s.tried"))
     value = lambda x: F.when(x["kind"] == 0, F.regexp_extract(x["match"], BASE["assign"], 1)).otherwise(x["match"])
     random = rows.where(F.size("base") > 0).select(F.explode(F.transform("base", value)).alias("s")).where(~F.col("s").rlike(IDENTIFIER))
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", BASE["assign"], " "), BASE["access"], " "), BASE["hex"], " ")
