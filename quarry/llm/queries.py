@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, language_id, line_dedup, near_dup, packing, preferences, quality_fm, quality_rules, secrets, sharding
+from quarry.llm import decontaminate, language_id, line_dedup, near_dup, packing, preferences, quality_fm, quality_rules, ranked_search, resample, secrets, sharding, token_counts
 from quarry.llm.common import table
 
 
@@ -74,5 +74,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_language_id, op4_preference_format, op5_quality_classifier, op6_secrets, op7_simhash, op8_line_dedup, op9_packing, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle_sql(), "op4_preference_format": preferences.oracle_sql(), "op8_line_dedup": line_dedup.oracle_sql()}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path=tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_sharding, op3_language_id, op4_preference_format, op5_quality_classifier, op6_secrets, op7_simhash, op8_line_dedup, op9_packing, op10_decontamination, op11_ranked_search, op12_importance_resampling, op13_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.oracle_sql(), "op4_preference_format": preferences.oracle_sql(), "op8_line_dedup": line_dedup.oracle_sql(), "op11_ranked_search": ranked_search.oracle_sql()}
