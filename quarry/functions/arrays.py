@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.batteries import unbounded
+
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once. Within the functions that
@@ -39,6 +41,8 @@ def match_lines(text: Column, pattern: str, unless: str | None = None) -> Column
     """The 1-based lines on which the matches of a pattern begin, in order.
     ``unless``: a match counts only if what follows it, up to the next one,
     doesn't begin with this pattern."""
+    pattern = unbounded(pattern)
+
     def placed(both: Column) -> Column:
         found, pieces = both["found"], both["pieces"]
         steps = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: line_breaks(p) + line_breaks(m))

@@ -7,6 +7,16 @@ negative lookahead. Patterns, titles and scores are fixed values.
 
 from __future__ import annotations
 
+_ARGUMENTS = r"(?:[^()]|\([^()]*\))*"
+
+
+def unbounded(pattern: str) -> str:
+    """The pattern as Spark runs it. Java's matcher calls itself once a character
+    of a repeated choice, which a long call doesn't survive; a possessive one
+    doesn't, and takes the same texts, as the choices begin differently."""
+    return pattern.replace(_ARGUMENTS, r"(?:[^()]++|\([^()]*+\))*+")
+
+
 #: The suffixes of each language's files. Fixed values.
 SUFFIXES = {
     "python": [".py"], "node": [".js", ".ts"], "ruby/rails": [".rb"], "go": [".go"], "java": [".java"], "php": [".php"], "c/cpp": [".c", ".cpp", ".h"],

@@ -11,16 +11,21 @@ ENGINE = "ENGINE"
 NOISE = r"(Harness iteration\s*\d+\s*\|?)|(Gates?\s*:\s*(passed|pass|ok)\b\.?)|(\bqualification\s*[:=]\s*\S+)|(\bconviction[_ ]level\s*[:=]\s*\d+)"
 #: Names before an equals sign that are no parameters. Fixed values.
 NO_PARAMETER = ["get", "post", "put", "delete", "patch", "http", "https", "user", "input", "the", "arg", "field"]
-DOMAIN = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?(?:\.[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?)*\.[a-z]{2,63}"
+LABEL = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+DOMAIN = rf"{LABEL}(?:\.{LABEL})*\.[a-z]{{2,63}}"
 
 
 def noise(engine: str = ENGINE) -> str:
     return rf"(?i)({engine}\s*CONFIRMED\s*\|?)|{NOISE}"
 
 
+#: What is cleaned after the bookkeeping went, in this order. Fixed values.
+TIDY = [(r"\|\s*\|", "|"), (r"^\s*[|·]\s*", ""), (r"\s*[|·]\s*$", ""), (r"[ \t]{2,}", " ")]
+
+
 def clean_prose(text: Column, engine: str = ENGINE) -> Column:
     out = F.regexp_replace(F.coalesce(text, F.lit("")), noise(engine), "")
-    for pattern, to in ((r"\|\s*\|", "|"), (r"^\s*[|·]\s*", ""), (r"\s*[|·]\s*$", ""), (r"[ \t]{2,}", " ")):
+    for pattern, to in TIDY:
         out = F.regexp_replace(out, pattern, to)
     return F.btrim(out, F.lit(" |·\n\t"))
 
@@ -39,7 +44,9 @@ def domain(value: Column) -> Column:
     """The name in lower case without scheme and last dot, null if it isn't a DNS name alone."""
     bare = F.regexp_replace(F.lower(F.btrim(value)), r"\.$", "")
     host = F.regexp_replace(bare, r"^https?://([^/?#:@]*)/?$", "$1")
-    return F.when(~value.rlike(r"[\x00-\x1f]") & host.rlike(rf"\A{DOMAIN}\z"), host)
+    labels = F.split(host, r"\.", -1)  # label by label: the whole pattern would call itself once a label
+    named = (F.size(labels) > 1) & F.forall(labels, lambda x: x.rlike(rf"\A{LABEL}\z")) & F.element_at(labels, -1).rlike(r"\A[a-z]{2,63}\z")
+    return F.when(~value.rlike(r"[\x00-\x1f]") & named, host)
 
 
 def plan_band(cvss: Column, threshold: float) -> Column:

@@ -1,32 +1,80 @@
-"""Tables that cut a loop's lineage, in the folder that all executors share."""
+"""Tables that cut lineage, in a folder that the driver and all executors share.
+
+The folder is the application's own and goes when the driver's Python ends;
+``scratch()`` deletes what was written within it at once.
+"""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folders: dict[str, str] = {}
+_tables: list[DataFrame] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration() if spark._jsc is None else spark._jsc.hadoopConfiguration()).delete(p, True)
+
 
 def folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local session without that setting gets a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return (named or tempfile.gettempdir()).rstrip("/")
+    """This application's own folder where the driver and every executor see it.
+
+    It lies in the one that the cluster names in ``spark.checkpoint.dir``. Only a
+    local session without that setting gets a temporary folder. What is in it
+    goes when the driver's Python ends, or by ``release()``.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        _folders[app] = f"{(named or tempfile.mkdtemp(prefix='quarry-')).rstrip('/')}/quarry-{app}"
+        atexit.register(release, spark, app)
+    return _folders[app]
 
 
-def saved(df: DataFrame) -> DataFrame:
+def release(spark: SparkSession, app: str | None = None) -> None:
+    """Delete all tables of ``saved()`` that this application has left."""
+    path = _folders.pop(app or spark.sparkContext.applicationId, None)
+    _tables.clear()
+    if path:
+        with suppress(Exception):  # the JVM may have ended before
+            _delete(spark, path)
+
+
+def saved(df: DataFrame, *, sort: list[str] | None = None) -> DataFrame:
     """``df`` written once and read back: later steps don't compute it again, and a lost executor takes nothing along."""
-    path = f"{folder(df.sparkSession)}/quarry-step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._saved_at = path
+    _tables.append(out)
     return out
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables of ``saved()`` that nothing reads any more."""
+    """Delete tables of ``saved()`` that nothing reads any more. Other tables are left alone."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path = getattr(df, "_saved_at", None)
+        if path:
+            _delete(df.sparkSession, path)
+            _tables[:] = [t for t in _tables if t._saved_at != path]
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """On leaving, the tables saved inside go, but for those in the list."""
+    kept: list[DataFrame] = []
+    before = {t._saved_at for t in _tables}
+    yield kept
+    before |= {t._saved_at for t in kept}
+    dropped(*(t for t in list(_tables) if t._saved_at not in before))
