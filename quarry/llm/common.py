@@ -3,13 +3,10 @@ their lineage, and safe column names."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager, suppress
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -17,76 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.scratch import dropped, folder, release, saved, scratch  # noqa: F401
+
 #: The white space of every word rule: space and U+0009 to U+000D.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_folders: dict[str, str] = {}
-_tables: list[DataFrame] = []
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration() if spark._jsc is None else spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This application's own folder where the driver and every executor see it.
-
-    It lies in the one that the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder. What is in it
-    goes when the driver's Python ends, or by ``release()``.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _folders:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        _folders[app] = f"{(named or tempfile.mkdtemp(prefix='quarry-')).rstrip('/')}/quarry-{app}"
-        atexit.register(release, spark, app)
-    return _folders[app]
-
-
-def release(spark: SparkSession, app: str | None = None) -> None:
-    """Delete all tables of ``written()`` that this application has left."""
-    folder = _folders.pop(app or spark.sparkContext.applicationId, None)
-    _tables.clear()
-    if folder:
-        with suppress(Exception):  # the JVM may have ended before
-            _delete(spark, folder)
-
-
-def written(df: DataFrame, *, sort: list[str] | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, lineage
-    cut, and readable after any executor is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quarry_path = path
-    _tables.append(out)
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of ``written()`` that nothing reads any more."""
-    path = getattr(df, "_quarry_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _tables[:] = [t for t in _tables if t._quarry_path != path]
-
-
-@contextmanager
-def scratch() -> Iterator[list[DataFrame]]:
-    """On leaving, the tables written inside go, but for those in the list."""
-    kept: list[DataFrame] = []
-    before = {t._quarry_path for t in _tables}
-    yield kept
-    before |= {t._quarry_path for t in kept}
-    for t in list(_tables):
-        if t._quarry_path not in before:
-            discard(t)
+shared_dir, written, discard = folder, saved, dropped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ the word tell which windows of items end there.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, repeat
@@ -19,9 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_batches, byte_slices, fresh, give_back, written
+from quarry.llm.word_runs import LOWERED, runs
 
-#: Bytes that are part of a word after A-Z are lower-cased: digits, a-z and all beyond ASCII.
-_WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _WORD_RE = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: An automaton has at most twice as many states as words; at some 300 bytes a
 #: state this bounds what one broadcast holds to about 120 MB.
@@ -30,7 +30,7 @@ _PAIR_BITS = 1 << 22
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return text.translate(_WORD).split() if text else []
+    return text.translate(LOWERED).split() if text else []
 
 
 class Automaton:
@@ -46,17 +46,19 @@ class Automaton:
             last = 0
             for c in ids:
                 last = self._extend(last, c)
-        none: set[str] = set()
-        self.items: list[set[str]] = [set() if n >= window else none for n in self.length]  # whose text has the state's runs; shorter ones need no list
+        # of the runs of window words and more that end where a state's do, the shortest: its state
+        self.top = [0] * len(self.next)
+        for v in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            if self.length[v] >= window:
+                self.top[v] = v if self.length[self.link[v]] < window else self.top[self.link[v]]
+        self.items: dict[int, set[str]] = defaultdict(set)  # whose text has the run
         own: list[list[tuple[int, str]]] = [[] for _ in self.next]  # short items that end here
         for item, ids in spelled:
             v = 0
             for c in ids:
                 v = self.next[v][c]
-                u = v
-                while self.length[u] >= window and item not in self.items[u]:
-                    self.items[u].add(item)
-                    u = self.link[u]
+                if self.top[v]:
+                    self.items[self.top[v]].add(item)
             if len(ids) < window:
                 own[v].append((len(ids), item))
         self.short: list[tuple[tuple[int, str], ...]] = [()] * len(self.next)
@@ -70,7 +72,7 @@ class Automaton:
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (a * 1_000_003 + b * 7_919) & (_PAIR_BITS - 1)
+        return (a.astype(np.int64) * 1_000_003 + b.astype(np.int64) * 7_919) & (_PAIR_BITS - 1)
 
     def _add(self, length: int, link: int, following: dict[int, int]) -> int:
         self.length.append(length)
@@ -116,11 +118,12 @@ class Automaton:
     def match(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Words of the text, spans of words inside a window (merged, end
         exclusive), and the items whose windows occur."""
-        words = words_of(text)
-        ids = np.fromiter(map(self.vocab.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        parts = [np.fromiter(map(self.vocab.get, words, repeat(-1)), dtype=np.int32, count=len(words)) for words in runs(text)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
         spans: list[list[int]] = []
         found: set[str] = set()
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        nxt, link, length, window, top = self.next, self.link, self.length, self.window, self.top
+        tops: set[int] = set()
         for a, b in self._runs(ids):
             v = run = 0
             for i, c in enumerate(ids[a:b].tolist(), a):
@@ -134,10 +137,9 @@ class Automaton:
                 start = i + 1
                 if run >= window:
                     start = i + 1 - window
-                    u = v
-                    while length[link[u]] >= window:
-                        u = link[u]
-                    found |= self.items[u]
+                    if top[v] not in tops:
+                        tops.add(top[v])
+                        found |= self.items[top[v]]
                 for n, item in self.short[v]:
                     if n <= run:
                         start = min(start, i + 1 - n)
@@ -146,7 +148,7 @@ class Automaton:
                     while spans and spans[-1][1] >= start:
                         start = min(start, spans.pop()[0])
                     spans.append([start, i + 1])
-        return len(words), [(s, e) for s, e in spans], found
+        return len(ids), [(s, e) for s, e in spans], found
 
 
 _FOUND = "struct<n_words:bigint,spans:array<struct<first:bigint,past:bigint>>,items:array<string>>"

@@ -62,7 +62,7 @@ class LineRuns:
 
     def _table(self, name: str, schema: str) -> DataFrame:
         run = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
-        run._quarry_path, run._run = f"{self.folder}/{name}", name
+        run._saved_at, run._run = f"{self.folder}/{name}", name
         return run
 
     def _written(self, df: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ END = 2
 _KEPT = 1_000_000  # spellings after which a task forgets and starts anew: about 30 MB
 _LONG = 64  # characters; longer spellings are not remembered
 _BLOCK = 1 << 20  # characters handled at once
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_FAR = 1 << 22  # characters without white space from which a text is no longer cut by it
+_CUT = re.compile(r"(?<=\S)(?=[ \n\r\t])")  # white space after anything else starts a pre-token
 #: Letters and marks whose pre-tokens are plain to see. The apostrophe, which starts contractions, is not among them.
 _LETTERS = [range(0x41, 0x5B), range(0x61, 0x7B), range(0xC0, 0xD7), range(0xD8, 0xF7), range(0xF8, 0x250), range(0x400, 0x482), range(0x48A, 0x530)]
 _MARKS = [range(0x21, 0x27), range(0x28, 0x30), range(0x3A, 0x41), range(0x5B, 0x61), range(0x7B, 0x7F)]
@@ -60,7 +61,8 @@ class Encoder:
     digits and marks meet. Texts are cut there by array operations over many
     texts at once; a word with anything else in it (other scripts, apostrophes, other
     white space) stays whole. Each part is looked up by a 64-bit hash of its
-    characters. New parts go to the tokenizer, many in one string, whose ids
+    characters. A text is handled a megabyte at a time, cut where white space
+    begins; one without any for four million characters goes to the compiled transducer. New parts go to the tokenizer, many in one string, whose ids
     are dealt out by the bytes that each stands for: plain ones to its model
     alone, since they are single pre-tokens, the others to all of it.
     """
@@ -72,6 +74,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.path, self.bounded = path, None
         spelled = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(spelled.values()) + 1, dtype=np.int64)
         self.bytes_of[list(spelled.values())] = [len(x) for x in spelled]  # a character stands for a byte
@@ -210,6 +213,15 @@ class Encoder:
         all_starts[long], all_counts[long] = begin[m:], n[m:]
         return all_starts, all_counts, flat
 
+    def _without_spaces(self, text: str) -> bytes:
+        """Ids of millions of characters without white space, which the library
+        would hold at 50 bytes and more a character: by the compiled transducer."""
+        if self.bounded is None:
+            from quarry.llm.token_counts import Counter, Vocabulary
+
+            self.bounded = Counter(Vocabulary.read(self.path))
+        return self.bounded.encode(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
         out: list[list[bytes]] = [[] for _ in texts]
@@ -233,9 +245,15 @@ class Encoder:
             while at < len(text):
                 cut = _CUT.search(text, at + _BLOCK)
                 end = cut.start() if cut else len(text)
+                if end - at > _FAR:
+                    if parts:
+                        flush()
+                    out[i].append(self._without_spaces(text[at:end]))
+                    at = end
+                    continue
                 parts.append(text[at:end])
                 owners.append(i)
-                goes_on.append(at > 0)
+                goes_on.append(at > 0 and text[at] == " " and not text[at + 1 : at + 2].isspace() and at + 1 < len(text))
                 n += end - at
                 at = end
                 if n >= _BLOCK:

@@ -23,7 +23,8 @@ MIN_VALUE = 6
 MIN_RUN = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
 #: Candidates that are taken for ordinary in training: words of small letters. Others are still to be judged and teach nothing.
-IDENTIFIER = r"^[a-z]+([+/_=-]+[a-z]+)*$"
+#: Possessive, since Java's matcher calls itself once a segment otherwise.
+IDENTIFIER = r"^[a-z]++(?:[+/_=-]++[a-z]++)*+$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Log-likelihood ratio a character from which a candidate counts as random.
 MARGIN = 0.5
