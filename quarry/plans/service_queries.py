@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import authz as A
 from quarry.operators import handlers as H
 from quarry.plans.registry import query
 from quarry.sources import text as X
 from quarry.sources.services import SERVICES_SQL, services
+from quarry.sources.webapps import WEBAPPS_SQL, webapps
 
 _LINES_SQL = f"{SERVICES_SQL}, ls AS (SELECT path, content, string_split(content, chr(10)) AS l FROM services WHERE content IS NOT NULL), lines AS (SELECT path, unnest(range(len(l))) + 1 AS line, unnest(l) AS t FROM ls)"
 _ROUTE = r"""\.(GET|POST|PUT|PATCH|DELETE|Get|Post|Put|Patch|Delete)\(\s*["'']([^"'']+)["'']\s*,\s*([A-Za-z_][A-Za-z0-9_.]*)"""
@@ -47,3 +49,29 @@ FROM routes r LEFT JOIN near n ON n.rank = 1 AND n.route_file = r.route_file AND
 def handler_sinks(spark: SparkSession, d: str) -> DataFrame:
     files = services(spark, d)
     return H.traced(X.routes(files), files)
+
+
+_APP_LINES_SQL = f"{WEBAPPS_SQL}, app_lines AS (SELECT file_id, path, kind, content, unnest(range(len(l))) + 1 AS line, unnest(l) AS t FROM (SELECT *, string_split(content, chr(10)) AS l FROM webapps WHERE content IS NOT NULL))"
+_KIND = lambda make, of: "CASE kind " + " ".join(f"WHEN '{k}' THEN ({make(v)})" for k, v in of.items()) + " ELSE false END"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_MATCH = lambda p: "regexp_matches(t, '{}')".format(p.replace("'", "''"))
+
+
+@query(f"""WITH {_APP_LINES_SQL}, l AS (SELECT file_id, path, line, {_KIND(_MATCH, A.FETCH)} AS fetch, {_KIND(lambda w: _HAS('lower(t)', w), A.INPUT)} AS given, {_KIND(lambda w: _HAS('lower(t)', w), A.CHECKS)} OR {_HAS('lower(t)', A.SIGNED)} AS checked,
+ CASE WHEN contains(t, 'def ') OR contains(t, 'function') OR regexp_matches(t, '=>\\s*\\{{|\\)\\s*=>') THEN {_KIND(lambda w: f"contains(lower(t), '{w}')", A.REQUEST)} END AS asks
+ FROM app_lines WHERE kind IN ('python', 'ruby/rails', 'node') AND NOT list_has_any(string_split(lower(path), '/'), {_LIST(A.NO_HANDLERS)}) AND {_HAS('lower(content)', A.HINTS)}),
+h AS (SELECT f.file_id, f.path, f.line, list_has_any(string_split(lower(f.path), '/'), {_LIST(A.HANDLERS)}) OR contains(lower(regexp_extract(f.path, '([^/]*)$', 1)), 'controller')
+ OR coalesce((SELECT arg_max(x.asks, x.line) FROM l x WHERE x.file_id = f.file_id AND x.line BETWEEN f.line - 29 AND f.line AND x.asks IS NOT NULL), false) AS in_handler
+ FROM l f WHERE f.fetch AND EXISTS (SELECT 1 FROM l x WHERE x.file_id = f.file_id AND x.given AND x.line BETWEEN f.line - 2 AND f.line + 2) AND NOT EXISTS (SELECT 1 FROM l x WHERE x.file_id = f.file_id AND x.checked AND x.line BETWEEN f.line - 25 AND f.line + 11))
+SELECT file_id, path, line::INT AS line, in_handler, CASE WHEN in_handler THEN 7.5 ELSE 5.5 END::DOUBLE AS cvss, CASE WHEN in_handler THEN 'high' ELSE 'low' END AS confidence FROM h""")
+def unchecked_object_fetches(spark: SparkSession, d: str) -> DataFrame:
+    return A.unchecked_fetches(webapps(spark, d), ["file_id"])
+
+
+@query(rf"""WITH {_APP_LINES_SQL}, l AS (SELECT file_id, path, line, {_KIND(lambda v: _MATCH(v[0]), A.GUARD)} AS guard, CASE kind {" ".join("WHEN '{}' THEN regexp_extract(t, '{}', 1)".format(k, v[1].replace("'", "''")) for k, v in A.GUARD.items())} END AS name
+ FROM app_lines WHERE NOT list_has_any(string_split(path, '/')[:-2], {_LIST(A.UNSEEN)}) AND lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '')) NOT IN ({_LIST(A.GUARD_FILES)[1:-1]})),
+m AS (SELECT *, EXISTS (SELECT 1 FROM l x WHERE x.file_id = l.file_id AND x.guard AND x.line BETWEEN l.line - 5 AND l.line) AS guarded FROM l WHERE name <> ''),
+s AS (SELECT file_id, array_to_string(list_sort(list(DISTINCT name))[:3], ',') AS siblings FROM m WHERE guarded GROUP BY file_id)
+SELECT file_id, path, line::INT AS line, name, siblings FROM m JOIN s USING (file_id) WHERE NOT guarded AND name NOT IN ({_LIST(A.NO_ENDPOINTS)[1:-1]}) AND lower(name) NOT IN ({_LIST(A.NO_ENDPOINTS_LOWER)[1:-1]}) AND NOT regexp_matches(name, '{A.NO_ENDPOINT}')""")
+def unguarded_methods(spark: SparkSession, d: str) -> DataFrame:
+    return A.unguarded_methods(webapps(spark, d), ["file_id"])
