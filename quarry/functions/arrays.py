@@ -37,11 +37,12 @@ def line_breaks(s: Column) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
 
 
-def match_lines(text: Column, pattern: str, unless: str | None = None) -> Column:
-    """The 1-based lines on which the matches of a pattern begin, in order.
+def match_lines(text: Column, pattern: str | Column, unless: str | None = None) -> Column:
+    """The 1-based lines on which the matches of a pattern begin, in order. A
+    pattern of each row's own may be given as a column.
     ``unless``: a match counts only if what follows it, up to the next one,
     doesn't begin with this pattern."""
-    pattern = unbounded(pattern)
+    pattern = F.lit(unbounded(pattern)) if isinstance(pattern, str) else pattern
 
     def placed(both: Column) -> Column:
         found, pieces = both["found"], both["pieces"]
@@ -51,5 +52,5 @@ def match_lines(text: Column, pattern: str, unless: str | None = None) -> Column
             return at
         return F.array_compact(F.zip_with(at, F.slice(pieces, 2, F.size(found)), lambda n, p: F.when(~p.rlike(rf"\A(?:{unless})"), n)))
 
-    matched = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
-    return F.when(text.rlike(pattern), bound(matched, placed)).otherwise(F.array().cast("array<int>"))
+    matched = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces"))
+    return F.when(F.rlike(text, pattern), bound(matched, placed)).otherwise(F.array().cast("array<int>"))
