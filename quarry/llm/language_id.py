@@ -138,7 +138,7 @@ def language_column(model: Model, text: Column, spark) -> Column:
         if not m.languages:
             return pa.array([{"lang": "und", "score": 0.0}] * len(texts), type=kind)
         best, p = _posterior(m.score(texts))
-        known = [bool(t and _LETTER.search(t)) for t in texts]
+        known = [bool(t) and any(m[0].isalpha() for m in _LETTER.finditer(t)) for t in texts]  # numerals like ½ are no letters
         return pa.array([{"lang": m.languages[b], "score": float(s)} if k else {"lang": "und", "score": 0.0} for k, b, s in zip(known, best, p, strict=True)], type=kind)
 
     @F.arrow_udf("struct<lang:string,score:double>")
