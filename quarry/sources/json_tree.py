@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: One token after white space: a mark, a string, a number or a word.
 _TOKEN = re.compile(r'[ \t\n\r]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?)|(true|false|null))')
+#: Steps of a node's path at most; nodes deeper down have none, lest a text of brackets alone grow with its square.
+DEEPEST = 1_000
 _END = re.compile(r"[ \t\n\r]*\Z")
 _NODE = "array<struct<id:int,parent:int,path:array<string>,key:string,ordinal:int,kind:string,atom:string>>"
 _ARROW = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("path", pa.list_(pa.string())), ("key", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("atom", pa.string())]))
@@ -32,7 +34,7 @@ def parse(text: str) -> list[dict] | None:
             up, n, name = stack[-1]
             stack[-1][1] += 1
             step = f".{name}" if up["kind"] == "object" else f"#{n}"
-            node = {"id": len(nodes), "parent": up["id"], "path": [*up["path"], step], "key": name, "ordinal": n, "kind": kind, "atom": atom}
+            node = {"id": len(nodes), "parent": up["id"], "path": None if up["path"] is None or len(up["path"]) >= DEEPEST else [*up["path"], step], "key": name, "ordinal": n, "kind": kind, "atom": atom}
         nodes.append(node)
         return node
 
@@ -94,10 +96,11 @@ def _lone(node: dict) -> bool:
 
 def nodes(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, path, depth, name, ordinal, kind, atom)``, a row a node; a row of
-    kind not_recorded or malformed where there are none."""
+    kind not_recorded or malformed where there are none. Nodes more than
+    ``DEEPEST`` levels down have no path and no depth."""
     read = df.select(key, tree(F.col(text)).alias("t"), F.when(F.coalesce(F.col(text), F.lit("")) == "", "not_recorded").otherwise("malformed").alias("why"))
     some = F.coalesce("t", F.array(F.named_struct(*(x for n, v in (("id", F.lit(0)), ("parent", F.lit(None).cast("int")), ("path", F.array().cast("array<string>")), ("key", F.lit(None).cast("string")), ("ordinal", F.lit(0)), ("kind", F.col("why")), ("atom", F.lit(None).cast("string"))) for x in (F.lit(n), v)))))
-    return read.select(key, F.explode(some).alias("n")).select(key, F.array_join("n.path", "").alias("path"), F.size("n.path").alias("depth"), F.col("n.key").alias("name"), F.col("n.ordinal").alias("ordinal"), F.col("n.kind").alias("kind"), F.col("n.atom").alias("atom"))
+    return read.select(key, F.explode(some).alias("n")).select(key, F.array_join("n.path", "").alias("path"), F.when(F.col("n.path").isNotNull(), F.size("n.path")).alias("depth"), F.col("n.key").alias("name"), F.col("n.ordinal").alias("ordinal"), F.col("n.kind").alias("kind"), F.col("n.atom").alias("atom"))
 
 
 def selected(nodes_: Column, path: list[str]) -> Column:
