@@ -97,8 +97,11 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, o
 
 
 def batches(df: DataFrame, order: list[str], size: int, group: str) -> DataFrame:
-    """``df`` with ``batch``: consecutive runs of ``size`` rows within a group."""
-    rows = numbered(df, [group], order, F.col(order[0]), "place_")
+    """``df`` with ``batch``: consecutive runs of ``size`` rows within a group. Rows
+    are dealt by their first two columns of order, the second a number cut into
+    cells, so neither a group nor a value of the first column is one task."""
+    coarse = F.struct(F.col(order[0]), F.floor(F.col(order[1]) / 16)) if len(order) > 1 else F.col(order[0])
+    rows = numbered(df, [group], order, coarse, "place_")
     return rows.withColumn("batch", F.floor((F.col("place_") - 1) / size)).drop("place_")
 
 

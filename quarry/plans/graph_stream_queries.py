@@ -40,6 +40,20 @@ def nearest_sources(spark: SparkSession, d: str) -> DataFrame:
     return G.nearest_sources(_reached(spark, d), table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node")))
 
 
+_MODULES_SQL = f"""{EDGES_SQL}, modules AS (SELECT caller, caller % 6 AS caller_module, callee, callee % 6 AS callee_module FROM edges), allowed AS (SELECT caller, callee FROM modules WHERE caller_module = callee_module OR caller_module = 0 OR (caller_module + callee_module) % 3 <> 0)"""
+
+
+@query(f"""WITH RECURSIVE {_MODULES_SQL}, r AS (SELECT s_suppkey AS sink, s_suppkey AS node, 0 AS hops, [s_suppkey] AS back FROM supplier WHERE s_nationkey % 5 = 0
+ UNION ALL SELECT r.sink, a.caller, hops + 1, list_append(back, a.caller) FROM r JOIN allowed a ON a.callee = r.node WHERE hops < 5 AND NOT list_contains(back, a.caller))
+SELECT node AS source, sink, min(hops)::INT AS hops, list_reverse(arg_min(back, (hops, back))) AS path FROM r WHERE node IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000) GROUP BY node, sink""")
+def taint_chains(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    edges = _edges(spark, d).withColumn("caller_module", F.col("caller") % 6).withColumn("callee_module", F.col("callee") % 6)
+    m = spark.range(6)
+    imports = m.where("id <> 0").select(F.col("id").alias("module"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("imported")).where("(module + imported) % 3 <> 0")
+    return G.taint_chains(edges, s.where("s_acctbal < 2000").select(F.col("s_suppkey").alias("node")), s.where("s_nationkey % 5 = 0").select(F.col("s_suppkey").alias("node")), 5, imports)
+
+
 @query("""WITH f AS (SELECT s_suppkey AS full_name, 'f' || s_suppkey % 10 AS name, 'file' || s_nationkey AS file FROM supplier), c AS (SELECT full_name AS caller, file AS caller_file, 'f' || (full_name * 3 % 10) AS name FROM f),
 j AS (SELECT caller, c.name, full_name AS callee, file = caller_file AS same FROM c JOIN f ON f.name = c.name AND full_name <> caller), k AS (SELECT *, bool_or(same) OVER (PARTITION BY caller, name) AS loc FROM j)
 SELECT DISTINCT caller, callee FROM k WHERE same = loc""")
@@ -151,3 +165,30 @@ def streamed_task_ledger(spark: SparkSession, d: str) -> DataFrame:
     ledger = S.run_to_table(S.task_ledger(events, "user_id", "state", "ts"), folder(spark), mode="update")
     last = latest_per_group(ledger, "task", "events")
     return last.select("task", "events", "state", F.col("ended_at").cast("timestamp_ntz").alias("ended_at"))
+
+
+_ACT = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'ok' ELSE 'failed' END"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS ident, ts, {_ACT} AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT ident, n, state, CASE WHEN state = 'queued' THEN ts END AS queued_at, ts AS started_at, ts AS updated_at, CASE WHEN state NOT IN ('running', 'queued') THEN ts END AS ended_at, 0 AS ignored FROM e WHERE n = 1
+ UNION ALL SELECT e.ident, e.n, CASE WHEN late THEN r.state ELSE e.state END, coalesce(r.queued_at, CASE WHEN e.state = 'queued' THEN ts END), CASE WHEN r.state = 'queued' AND e.state = 'running' THEN ts ELSE r.started_at END,
+  CASE WHEN late THEN r.updated_at ELSE ts END, CASE WHEN late THEN r.ended_at WHEN e.state NOT IN ('running', 'queued') THEN ts END, r.ignored + late::INT
+ FROM (SELECT r.*, e.state AS s2, r.state IN ('ok', 'failed', 'skipped') AND e.state = 'running' AS late FROM r JOIN e ON e.ident = r.ident AND e.n = r.n + 1) r JOIN e ON e.ident = r.ident AND e.n = r.n + 1)
+SELECT ident, state, CASE state WHEN 'ok' THEN 'completed' WHEN 'queued' THEN 'running' ELSE state END AS terminal_status, queued_at, started_at, updated_at, ended_at, ignored::BIGINT AS ignored FROM r QUALIFY row_number() OVER (PARTITION BY ident ORDER BY n DESC) = 1""")
+def streamed_activities(spark: SparkSession, d: str) -> DataFrame:
+    events = S.read_stream(spark, f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("ident"), F.expr(_ACT).alias("state"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"))
+    rows = S.run_to_table(S.activities(events), folder(spark), mode="update")
+    last = latest_per_group(rows, "ident", "updates")
+    naive = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return last.select("ident", "state", "terminal_status", *map(naive, ("queued_at", "started_at", "updated_at", "ended_at")), "ignored")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS holder, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT holder, n, event_id, ts, true AS taken, 1 AS attempt, ts + INTERVAL '2 days' AS expires_at FROM e WHERE n = 1
+ UNION ALL SELECT e.holder, e.n, e.event_id, e.ts, r.expires_at <= e.ts, r.attempt + (r.expires_at <= e.ts)::INT, CASE WHEN r.expires_at <= e.ts THEN e.ts + INTERVAL '2 days' ELSE r.expires_at END FROM r JOIN e ON e.holder = r.holder AND e.n = r.n + 1)
+SELECT holder, event_id AS claim, taken, attempt::INT AS attempt, expires_at FROM r""")
+def streamed_lease_claims(spark: SparkSession, d: str) -> DataFrame:
+    claims = S.read_stream(spark, f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("holder"), F.col("event_id").alias("claim"), F.col("ts").cast("timestamp").alias("at"))
+    rows = S.run_to_table(S.lease_claims(claims, 2 * 86_400), folder(spark), mode="append")
+    return rows.select("holder", "claim", "taken", "attempt", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))

@@ -92,6 +92,59 @@ def task_ledger(events: DataFrame, key: str = "task", state: str = "state", at:
     )
 
 
+ENDED = ["ok", "failed", "skipped"]
+_REGISTRY = "state string, queued_at timestamp, started_at timestamp, updated_at timestamp, ended_at timestamp, ignored bigint, updates bigint"
+
+
+def activities(events: DataFrame) -> DataFrame:
+    """``events(ident, state, at, id)`` -> a row an activity for each batch that
+    touches it: ``(ident, state, terminal_status, queued_at, started_at,
+    updated_at, ended_at, ignored, updates)``.
+
+    States are queued, running, ok, failed and skipped. Running after the end
+    is ignored; the first time of queueing stays; the clock starts when a
+    queued activity runs, or else with its first event. Events of a batch are
+    taken in order of (at, id), batches as they come. State is one small row an activity.
+    """
+
+    def update(ident: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state, queued, started, updated, ended, ignored, n = held.get if held.exists else ("", None, None, None, None, 0, 0)
+        for r in pd.concat(list(batches)).sort_values(["at", "id"]).itertuples():
+            n, at = n + 1, r.at.to_pydatetime()
+            if state in ENDED and r.state == "running":
+                ignored += 1
+                continue
+            started = at if started is None or (state == "queued" and r.state == "running") else started
+            queued = at if queued is None and r.state == "queued" else queued
+            state, updated, ended = r.state, at, None if r.state in ("running", "queued") else at
+        held.update((state, queued, started, updated, ended, ignored, n))
+        told = {"ok": "completed", "queued": "running"}.get(state, state)
+        yield pd.DataFrame({"ident": [ident[0]], "state": [state], "terminal_status": [told], "queued_at": [queued], "started_at": [started], "updated_at": [updated], "ended_at": [ended], "ignored": [ignored], "updates": [n]})
+
+    return events.groupBy("ident").applyInPandasWithState(update, f"ident string, {_REGISTRY.replace('state string,', 'state string, terminal_status string,')}", _REGISTRY, "update", GroupStateTimeout.NoTimeout)
+
+
+def lease_claims(claims: DataFrame, seconds: float) -> DataFrame:
+    """``claims(holder, claim, at)`` -> ``(holder, claim, taken, attempt,
+    expires_at)``, a row a claim. A claim is refused while a lease lives; else
+    it takes the lease for ``seconds``, one attempt later. Claims of a batch are
+    decided in order of (at, claim), batches as they come; state is a lease's end and its attempts."""
+
+    def decide(holder: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        expires, attempt = held.get if held.exists else (None, 0)
+        rows = []
+        for r in pd.concat(list(batches)).sort_values(["at", "claim"]).itertuples():
+            at = r.at.to_pydatetime()
+            taken = expires is None or expires <= at
+            if taken:
+                expires, attempt = at + pd.Timedelta(seconds=seconds).to_pytimedelta(), attempt + 1
+            rows.append((holder[0], r.claim, taken, attempt, expires))
+        held.update((expires, attempt))
+        yield pd.DataFrame(rows, columns=["holder", "claim", "taken", "attempt", "expires_at"])
+
+    return claims.groupBy("holder").applyInPandasWithState(decide, "holder string, claim bigint, taken boolean, attempt int, expires_at timestamp", "expires_at timestamp, attempt int", "append", GroupStateTimeout.NoTimeout)
+
+
 def occurrences(messages: DataFrame, keys: list[str], order: str) -> DataFrame:
     """``messages`` with ``occurrence``: the k-th of identical messages, in the
     order of a whole number. A replay and a live tail joined on (keys, occurrence) give each once."""
