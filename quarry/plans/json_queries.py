@@ -16,7 +16,7 @@ WHEN 2 THEN concat('{{"target": {{"name": "', event_type, '"')
 WHEN 3 THEN concat('[[', CAST(user_id AS STRING), ', [2, [3, "x"]]], {{"route": "/in/', event_type, '"}}, []]')
 WHEN 4 THEN concat(repeat('{{"d": ', 50), CAST(user_id AS STRING), repeat('}}', 50))
 WHEN 5 THEN concat('{{"target": {{"name": "', event_type, '", "name": "b", "line": 1}}, "target": {{"name": null}}, "more": [{{"k": 1, "k": 2, "k": []}}]}}')
-WHEN 6 THEN concat('{{"routes": [{{"path": "/u/', CAST(user_id AS STRING), '", "url": ["/a", {{"endpoint": "/b", "x": "no", "deep": {{"route": "/c"}}}}, ["/never"]]}}, {{"Path": {{"route": "/dead"}}}}], "props": ', props, '}}')
+WHEN 6 THEN concat('{{"routes": [{{"path": "/u/', CAST(user_id AS STRING), '", "url": ["/health?x", "https://h/status", {{"endpoint": "/b", "x": "no", "deep": {{"route": "/c"}}}}, ["/never"]]}}, {{"Path": {{"route": "/dead"}}}}], "props": ', props, '}}')
 WHEN 7 THEN concat('{{"a.b": "q', {_B}, '"', {_B}, {_B}, {_B}, 'u00e9", "', {_B}, 'u0074arget": {{"n', {_B}, 'u0061me": true}}}}')
 WHEN 8 THEN concat(' ', CAST(user_id AS STRING), ' ')
 WHEN 9 THEN concat('{{"target": "', event_type, '", "props": []}}')
