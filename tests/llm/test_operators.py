@@ -97,7 +97,19 @@ def test_sharding_keeps_groups_together(spark):
     for r in got:
         group[r["doc_id"] % 40][r["shard"]] += 1
     together = sum(max(c.values()) for c in group.values()) / 400
-    assert together > 0.6  # a random deal gives about 0.42
+    assert together >= 0.9  # a random deal gives about 0.42
+
+
+def test_sharding_with_a_text_of_a_third_of_the_rows(spark):
+    rows = [(i, "hub" if i % 3 == 0 else f"group {i % 50}", "en") for i in range(900)]
+    got = sharding.shard_documents(table(spark, rows), 4).collect()
+    shards = defaultdict(Counter)
+    for r in got:
+        shards["hub" if r["doc_id"] % 3 == 0 else r["doc_id"] % 50][r["shard"]] += 1
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == 900 and max(counts.values()) - min(counts.values()) <= 1
+    small = [c for k, c in shards.items() if k != "hub"]
+    assert sum(max(c.values()) for c in small) / 600 > 0.9 and max(shards["hub"].values()) > 150  # a shard holds 225
 
 
 def test_language(spark):
