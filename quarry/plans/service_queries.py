@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import authz as A
 from quarry.operators import handlers as H
+from quarry.operators import trust as U
 from quarry.plans.registry import query
 from quarry.sources import text as X
 from quarry.sources.services import SERVICES_SQL, services
@@ -75,3 +76,21 @@ s AS (SELECT file_id, array_to_string(list_sort(list(DISTINCT name))[:3], ',') A
 SELECT file_id, path, line::INT AS line, name, siblings FROM m JOIN s USING (file_id) WHERE NOT guarded AND name NOT IN ({_LIST(A.NO_ENDPOINTS)[1:-1]}) AND lower(name) NOT IN ({_LIST(A.NO_ENDPOINTS_LOWER)[1:-1]}) AND NOT regexp_matches(name, '{A.NO_ENDPOINT}')""")
 def unguarded_methods(spark: SparkSession, d: str) -> DataFrame:
     return A.unguarded_methods(webapps(spark, d), ["file_id"])
+
+
+_G = lambda p: "'" + p.replace("'", "''") + "'"
+_REGISTERED_SQL = rf"""{_LINES_SQL}, fl AS (SELECT path, regexp_matches(content, {_G(U.GATE)}) AS gate, regexp_matches(content, {_G(U.OPEN)}) OR regexp_matches(content, {_G(U.NO_TOKEN)}) AS opened, regexp_extract_all(content, {_G(U.GROUP)}, 1) AS gn, regexp_extract_all(content, {_G(U.GROUP)}, 2) AS gp,
+ list_transform(regexp_extract_all(content, {_G(U.PREFIX)}, 1), lambda p: rtrim(p, '/')) AS prefixes FROM ls),
+cl AS (SELECT path, line, t FROM lines WHERE NOT regexp_matches(trim(t), '^(?://|#|--)')),
+rr AS (SELECT path, line, 'm' AS k, t, unnest(regexp_extract_all(t, {_G(U.ROUTE)}, 1)) AS a, unnest(regexp_extract_all(t, {_G(U.ROUTE)}, 2)) AS b, unnest(regexp_extract_all(t, {_G(U.ROUTE)}, 3)) AS raw FROM cl
+ UNION ALL SELECT path, line, 'c', t, NULL, unnest(regexp_extract_all(t, {_G(U.CHAINED)}, 2)), unnest(regexp_extract_all(t, {_G(U.CHAINED)}, 1)) FROM cl UNION ALL SELECT path, line, 'h', t, NULL, NULL, unnest(regexp_extract_all(t, {_G(U.HANDLE)}, 1)) FROM cl),
+px AS (SELECT rr.*, gate, opened, CASE WHEN k = 'm' THEN coalesce(nullif(rtrim(list_reverse(list_transform(list_filter(list_zip(gn, gp), lambda z: z[1] = a), lambda z: z[2]))[1], '/'), ''), CASE WHEN len(prefixes) > 0 AND len(list_filter(prefixes, lambda p: starts_with(raw, p))) = 0 THEN prefixes[1] END, '') ELSE '' END AS prefix,
+ lower(raw || ' ' || regexp_extract(t, ',\s*(?:[A-Za-z_]\w*\.)*([A-Z]\w+)\s*\)?\s*$', 1)) AS said FROM rr JOIN fl USING (path)),
+reg AS (SELECT path, min(line)::INT AS line, CASE WHEN k = 'h' THEN CASE WHEN NOT {_HAS('said', U.TELLS)} AND {_HAS('said', U.CHANGES)} THEN 'POST' ELSE 'ANY' END ELSE upper(b) END AS method, regexp_replace(CASE WHEN raw = '/' THEN coalesce(nullif(prefix, ''), '/') ELSE prefix || raw END, '/{{2,}}', '/', 'g') AS route, gate, opened FROM px GROUP BY ALL),
+one AS (SELECT path, min(line) AS line, method, route, gate, opened FROM reg GROUP BY ALL)"""
+
+
+@query(f"""WITH {_REGISTERED_SQL}, v AS (SELECT *, CASE WHEN method NOT IN ('POST', 'PUT', 'PATCH', 'DELETE') THEN 1 WHEN opened THEN 2 WHEN NOT gate AND {_HAS('lower(path)', U.ROUTERS)} THEN 3 WHEN gate THEN 4 ELSE 5 END AS n FROM one)
+SELECT path, line, method, route, gate, opened, (['harmless', 'open', 'open', 'guarded', 'unknown'])[n] AS verdict, (['reads only', 'fail-open middleware', 'no auth middleware in route file', 'middleware in route file', 'no evidence'])[n] AS rule FROM v""")
+def route_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return U.verdicts(U.registered(services(spark, d)))

@@ -17,7 +17,7 @@ _BODY = [
     "\\tout, err := exec.Command(\"sh\", \"-c\", cmd).Output()", "\\tos.WriteFile(name, data, 0644)", "\\tp := filepath.Join(root, name)", "\\tjson.Unmarshal(b, &v)", "\\tresp, err := http.Get(url)", "\\treturn nil", "\\tx := 1",
     "\\tb, err := os.ReadFile(p)", "\\tq.Enqueue(task)", "\\t// nothing", "\\ts.resumer.Resume(ctx)",
 ]
-_GUARDS = ["RequireAuth(r)", "authorize(ctx, user)", "s.log(r)", "limit(r)", "s.log(r)"]
+_GUARDS = ["RequireAuth(r)", "accessTokenMiddleware(r)", "s.log(r)", "if token == \"\" { return }", "s.log(r)", "checkAuth(r)", "limit(r)"]
 
 
 def _pick(values: list[str], n: str) -> str:
@@ -36,11 +36,17 @@ def _route(k: int) -> str:
     return f"concat('r.', {_pick(['POST', 'GET', 'DELETE', 'Put'], f'p_partkey + p_size + {k}')}, '(\"', {_pick(_ROUTES, n)}, '\", ', {_pick(['', 's.', ''], f'p_size + {k}')}, {_pick(_NAMES, n)}, ')')"
 
 
-_ROUTE_FILE = f"concat_ws(chr(10), 'package web', 'func Register(r Router) {{', {', '.join(_route(k) for k in range(4))}, '}}', '', {_function(0)})"
+def _prefixed(k: int) -> str:
+    """Routes of groups, of other routers, and one that is commented out."""
+    lines = ['g := r.Group("/api/")', 'g.POST("/jobs", s.RunJob)', '// r.POST("/old", Old)', 'r.Route("/agent", func(r Router) {', 'http.HandleFunc("/upload", UploadFile)', 'app.route("/rust", post(create_item))', 'http.Handle("/ping", Health)', 'g.Get("/", List)']
+    return f"concat('    ', {_pick(lines, f'p_partkey * {k + 1} + p_size')})"
+
+
+_ROUTE_FILE = f"concat_ws(chr(10), 'package web', 'func Register(r Router) {{', {', '.join(_route(k) for k in range(4))}, {_prefixed(0)}, {_prefixed(1)}, {_prefixed(2)}, '}}', '', {_function(0)})"
 _PLAIN_FILE = f"concat_ws(chr(10), 'package work', '', {_function(0)}, {_function(1)}, {_function(2)})"
 #: Columns of a file. One in 29 has no content, one in 31 is empty.
 SERVICE = {
-    "path": f"concat(replace({_pick(_FOLDERS, 'p_partkey + p_size')}, '{{s}}', CAST(p_size % 5 AS STRING)), '/f', CAST(p_partkey % 40 AS STRING), CASE WHEN p_partkey % 17 = 0 THEN '.md' ELSE '.go' END)",
+    "path": f"concat(replace({_pick(_FOLDERS, 'p_partkey + p_size')}, '{{s}}', CAST(p_size % 5 AS STRING)), '/', CASE WHEN p_partkey % 19 = 0 THEN 'router' ELSE concat('f', CAST(p_partkey % 40 AS STRING)) END, CASE WHEN p_partkey % 17 = 0 THEN '.md' ELSE '.go' END)",
     "file_id": "p_partkey",
     "content": f"CASE WHEN p_partkey % 29 = 0 THEN NULL WHEN p_partkey % 31 = 0 THEN '' WHEN p_partkey % 3 = 0 THEN {_ROUTE_FILE} ELSE {_PLAIN_FILE} END",
 }
