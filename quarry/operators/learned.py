@@ -1,9 +1,9 @@
 """Learned patterns as data: which of them may run, which of equal ones stays,
 and where they match.
 
-Files meet patterns by literals. Of every pattern a few strings are known of
-which each match holds one; files are searched for all of these at once, and
-only patterns of which one is there are tried. So neither files nor patterns
+Files meet patterns by literals. Of every pattern the strings are known that
+each match holds; files are searched for all of them at once, and only
+patterns whose strings are there are tried. So neither files nor patterns
 are shuffled, and no file is paired with patterns that can't match it.
 """
 
@@ -45,15 +45,15 @@ def _bare(regex: Column) -> Column:
 
 
 def literals(regex: Column) -> Column:
-    """Strings of a-z, 0-9 and _ of which every match, in small letters, holds at
-    least one: the longest run of each alternative, outside of groups, classes
-    and what may be left out. Null if an alternative has none."""
+    """Lists of strings of a-z, 0-9 and _: every match, in small letters, holds all
+    of at least one list. They are the runs of each alternative outside of groups,
+    classes and what may be left out. Null if an alternative has none."""
     out = _bare(regex)
     for _ in range(6):  # groups within groups
         out = F.regexp_replace(out, r"\((?:\?[^()]*?[:=!>])?[^()]*\)(?:[*+?]|\{[^}]*\})?", _X)
     out = F.regexp_replace(out, r".(?:[*?]|\{[^}]*\})", _X)
-    runs = F.transform(F.split(out, r"\|", -1), lambda s: F.array_max(F.transform(F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9_]+"), F.lit(0)), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"])
-    known = ~F.contains(regex, F.lit("\\Q")) & ~F.contains(regex, F.lit("(?x")) & ~out.rlike("[()]") & F.forall(runs, lambda x: x.isNotNull())
+    runs = F.transform(F.split(out, r"\|", -1), lambda s: F.array_distinct(F.regexp_extract_all(F.lower(s), F.lit("[a-z0-9_]+"), F.lit(0))))
+    known = ~F.contains(regex, F.lit("\\Q")) & ~F.contains(regex, F.lit("(?x")) & ~out.rlike("[()]") & F.forall(runs, lambda x: F.size(x) > 0)
     return F.when(known, F.array_distinct(runs))
 
 
@@ -107,24 +107,35 @@ def harmless(window: Column, title: Column, regex: Column) -> Column:
     return F.when(command, ~shell).when(query, bound_ | quoted | ~spliced).otherwise(False)
 
 
-def candidates(files: DataFrame, rules: list[tuple[int, list[str]]], content: str) -> Column:
-    """Numbers of the rules of which a text holds a literal."""
+def candidates(files: DataFrame, rules: list[tuple[int, str, list[list[str]]]], content: str) -> Column:
+    """array<struct<pattern_id, regex>> of the rules of which a text holds all literals of an
+    alternative. A text is read once, whatever the number of rules."""
     held = files.sparkSession.sparkContext.broadcast(rules)
+    kind = pa.list_(pa.struct([("pattern_id", pa.int64()), ("regex", pa.string())]))
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("array<struct<pattern_id:bigint,regex:string>>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import ahocorasick
 
-        of: dict[str, list[int]] = {}
-        for number, words in held.value:
-            for w in words:
-                of.setdefault(w, []).append(number)
+        of: dict[str, list[tuple[int, frozenset[str]]]] = {}
+        regexes = {}
+        for number, regex, alternatives in held.value:
+            regexes[number] = regex
+            for words in alternatives:
+                for w in words:
+                    of.setdefault(w, [])
+                of[max(words, key=len)].append((number, frozenset(words)))  # looked at where its longest word is
         index = ahocorasick.Automaton()
-        for w, numbers in of.items():
-            index.add_word(w, numbers)
+        for w in of:
+            index.add_word(w, w)
         index.make_automaton()
         for texts in batches:
-            yield pa.array([[] if not of or not t.is_valid else sorted({n for _, numbers in index.iter(t.as_py().casefold()) for n in numbers}) for t in texts], type=pa.list_(pa.int64()))
+            out = []
+            for t in texts:
+                seen = {w for _, w in index.iter(t.as_py().casefold())} if of and t.is_valid else set()
+                hit = sorted({n for w in seen for n, words in of[w] if words <= seen})
+                out.append([{"pattern_id": n, "regex": regexes[n]} for n in hit])
+            yield pa.array(out, type=kind)
 
     return found(F.col(content))
 
@@ -150,7 +161,9 @@ def matches(files: DataFrame, rules: DataFrame, *, content: str = "content", blo
     out = None
     for own in _blocks(rules, block):
         table = spark.createDataFrame([tuple(r)[:6] for r in own], "pattern_id bigint, regex string, title string, language string, base double, from_notes boolean")
-        tried = files.select("path", "kind", F.col(content).alias("text"), candidates(files, [(r["pattern_id"], r["words"]) for r in own], content).alias("rules")).where(F.size("rules") > 0)
+        tried = files.select("path", "kind", F.col(content).alias("text"), candidates(files, [(r["pattern_id"], r["regex"], r["words"]) for r in own], content).alias("tried"))
+        # rules are tried within the row: only those that match get a copy of it
+        tried = tried.withColumn("rules", F.transform(F.filter("tried", lambda r: F.rlike(F.col("text"), F.concat(F.lit("(?iu)"), r["regex"]))), lambda r: r["pattern_id"])).where(F.size("rules") > 0).drop("tried")
         lines = F.split("text", "\n")
         marks = F.transform(lines, lambda s: (_any(s, SINKS) | _any(s, SOURCES)).cast("int"))
         seen = tried.select("path", "kind", "text", "rules", lines.alias("ls"), running(marks, lambda a, x: a + x, F.lit(0)).alias("upto"))

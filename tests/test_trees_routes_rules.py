@@ -130,7 +130,7 @@ def test_every_match_holds_a_literal(spark):
     df = spark.createDataFrame([(p,) for p in patterns], "p string").select("p", learned.literals(F.col("p")).alias("words"))
     for r in df.collect():
         hits = [s for s in samples if re.fullmatch(r["p"], s)]
-        assert hits and (r["words"] is None or all(any(w in h.lower() for w in r["words"]) for h in hits)), r
+        assert hits and (r["words"] is None or all(any(all(w in h.lower() for w in own) for own in r["words"]) for h in hits)), r
     why = {r["p"]: r["why"] for r in spark.createDataFrame([("(",), ("ab(c",), ("(a|b)+cde",), ("ab||cd",), (".*",), (None,), (r"\d{4,}\s",), (r"fine\(x",), (r"a{3}",)], "p string").select("p", learned.refusal(F.col("p")).alias("why")).collect()}
     assert why == {"(": "too-short", "ab(c": "broken", "(a|b)+cde": "repeated-group", "ab||cd": "empty-alternative", ".*": "too-short", None: "too-short", r"\d{4,}\s": "no-literal", r"fine\(x": None, r"a{3}": "few-literals"}
 
