@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.arrays import bound
+
 _ESCAPES = ["\\u000B", "\\u000E", "\\u000F", *(f"\\u001{x}" for x in "ABCDEF")]
 
 
@@ -17,10 +19,10 @@ def canonical(text: Column, ascii_only: bool = False) -> Column:
     2.5, 1.0 is 1, 1e3 is 1000.0. ``ascii_only`` escapes what is beyond ASCII."""
     # The parser stops after one value. Only a member after it shows that nothing else follows, and no text can spell its own
     # hash; what goes on with members of its own is no entry of a list.
-    end = F.concat(F.lit(',"~'), F.sha2(F.encode(text, "UTF-8"), 256), F.lit('":0}'))
-    both = F.to_json(F.try_parse_json(F.concat(F.lit('{"a":'), text, end)))
+    ends = F.concat(F.lit(',"~'), F.sha2(F.encode(text, "UTF-8"), 256), F.lit('":0}'))
     entry = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-    alone = F.when(entry & F.endswith(both, end), F.substring(both, F.lit(6), F.length(both) - 5 - F.length(end)))
+    read = bound(ends, lambda end: F.struct(end.alias("end"), F.to_json(F.try_parse_json(F.concat(F.lit('{"a":'), text, end))).alias("both")))
+    alone = bound(read, lambda x: F.when(F.endswith(x["both"], x["end"]) & entry, F.substring(x["both"], F.lit(6), F.length(x["both"]) - 5 - F.length(x["end"]))))
     out = F.replace(alone, F.lit("\\\\"), F.lit("\x01"))  # an escaped backslash begins no other escape
     for e in _ESCAPES:
         out = F.replace(out, F.lit(e), F.lit(e.lower()))
@@ -28,8 +30,8 @@ def canonical(text: Column, ascii_only: bool = False) -> Column:
     if not ascii_only:
         return out
     units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
-    plain = F.octet_length(out) == F.length(out)
-    return F.when(plain, out).otherwise(F.array_join(F.transform(F.split(out, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(units(c))), ""))
+    spelled = lambda o: F.array_join(F.transform(F.split(o, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(units(c))), "")
+    return bound(out, lambda o: F.when(F.octet_length(o) == F.length(o), o).otherwise(spelled(o)))
 
 
 def digest(text: Column, ascii_only: bool = True) -> Column:

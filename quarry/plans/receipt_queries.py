@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import canonical as C
 from quarry.operators import selection as S
 from quarry.plans.registry import query
+from quarry.sources.scratch import saved
 from quarry.sources.tables import FILES_SQL, FINDINGS_SQL, files, findings, table
 
 #: A key for the queries' own signatures; a deployment gives its own.
@@ -53,8 +54,10 @@ def receipt_verdicts(spark: SparkSession, d: str) -> DataFrame:
     audit = F.concat(F.lit("a"), "repo_id")
     body = C.canonical(F.to_json(F.struct(audit.alias("audit_id"), F.col("fp").alias("finding_fingerprint"))))
     n = F.col("id") % 10
-    mark = F.when(n == 8, F.lit("0" * 64)).otherwise(C.signature(KEY, DOMAIN, body))
-    made = own.withColumn("body", body).withColumn("mark", mark).withColumn("receipt", C.canonical(F.to_json(F.struct(audit.alias("audit_id"), F.col("fp").alias("finding_fingerprint"), F.col("mark").alias("signature")))))
+    mark = F.when(n == 8, F.lit("0" * 64)).otherwise(C.signature(KEY, DOMAIN, F.col("body")))
+    # each step is written: a plan of all would compute the inner forms again for each use
+    marked = saved(saved(own.withColumn("body", body)).withColumn("mark", mark))
+    made = saved(marked.withColumn("receipt", C.canonical(F.to_json(F.struct(audit.alias("audit_id"), F.col("fp").alias("finding_fingerprint"), F.col("mark").alias("signature"))))))
     stored = made.withColumn("receipt", F.when(n == 0, "").when(n == 1, F.concat("receipt", F.lit("x"))).when(n == 2, F.concat(F.lit(" "), "receipt")).otherwise(F.col("receipt")))
     hash_ = F.when(n == 3, F.lit("0" * 64)).otherwise(F.sha2("receipt", 256))
     bound = F.when(n == 4, "").when(n == 5, F.sha2("fp", 256)).otherwise(F.col("fp"))
