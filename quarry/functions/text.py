@@ -39,12 +39,13 @@ def content_id(*parts: Column, length: int = 20) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    """12.3s, 4m 5.0s, 2h 3m 4s."""
-    s = F.round(seconds, 1)
+    """12.3s, 4m 5.0s, 2h 3m 4s. The tenth is that nearest to ten times the number, as
+    a double; round(seconds, 1) goes by the number's decimal spelling and is a tenth off near halves."""
+    s = F.round(seconds * 10) / 10
     minutes = F.floor(s / 60)
     return (
         F.when(s < 60, F.format_string("%.1fs", s)).when(s < 3600, F.format_string("%dm %.1fs", minutes, s - minutes * 60))
-        .otherwise(F.format_string("%dh %dm %ds", F.floor(s / 3600), F.floor(minutes % 60), F.floor(s % 60)))
+        .when(s.isNotNull(), F.format_string("%dh %dm %ds", F.floor(s / 3600), F.floor(minutes % 60), F.floor(s % 60)))
     )
 
 
