@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +38,92 @@ def greedy_assignment(pairs: DataFrame, left: str, right: str) -> DataFrame:
         left_over = rest
 
 
+class _Free:
+    """The free rights of a block, in order of line and id: the first of each line
+    is at hand, and so is, by a heap whose stale entries are dropped when met, the first of all."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]], within: int) -> None:
+        lines, self.ids = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64),) * 2
+        self.lines, self.at = np.unique(lines, return_index=True)
+        self.past = np.append(self.at[1:], len(self.ids))
+        self.first = self.ids[self.at]
+        self.heap = list(zip(self.first.tolist(), range(len(self.first)), strict=True))
+        heapify(self.heap)
+        self.taken: set[int] = set()
+        self.within, self.none = within, np.iinfo(np.int64).max
+
+    def _next(self, k: int) -> None:
+        self.at[k] += 1
+        self.first[k] = self.ids[self.at[k]] if self.at[k] < self.past[k] else self.none
+        if self.at[k] < self.past[k]:
+            heappush(self.heap, (int(self.first[k]), k))
+
+    def _near(self, line: int) -> int | None:
+        a, z, zero = np.searchsorted(self.lines, [line - self.within, line + self.within + 1, 0]).tolist()
+        places = [int(np.argmin(self.first[a:z])) + a] if z > a else []
+        if zero < len(self.lines) and self.lines[zero] == 0:
+            places.append(zero)
+        k = min(places, key=lambda k: self.first[k], default=None)
+        return None if k is None or self.at[k] >= self.past[k] else k
+
+    def _any(self) -> int | None:
+        while self.heap and (self.at[self.heap[0][1]] >= self.past[self.heap[0][1]] or self.first[self.heap[0][1]] != self.heap[0][0]):
+            heappop(self.heap)
+        return self.heap[0][1] if self.heap else None
+
+    def take(self, line: int) -> int | None:
+        while (k := self._near(line) if line else self._any()) is not None:
+            own = int(self.first[k])
+            self._next(k)
+            if own not in self.taken:  # an id may stand on several lines
+                self.taken.add(own)
+                return own
+        return None
+
+
+def greedy_line_assignment(lefts: DataFrame, rights: DataFrame, block: list[str], left: str, right: str, left_line: str, right_line: str, within: int) -> DataFrame:
+    """As ``greedy_assignment`` of all pairs of a block whose lines are at most
+    ``within`` apart or one of whose lines is 0 or null, without making the pairs,
+    whose number grows with the square of a block: ``(left, right)``, ids as long.
+
+    Blocks with a null match nothing. A left id is in one row, a right id in one block. Rows
+    are sorted by block, rights before lefts; a task streams them and holds line and id, 16 bytes, of
+    each right of one block. Within a block each choice depends on those before, so a block is one task's.
+    """
+    none = reduce(Column.__or__, (F.col(c).isNull() for c in block))  # not a filter: it would compute the columns twice
+    own = lambda df, kind, id_, line: df.dropna(subset=[id_]).select(
+        F.when(none, "").otherwise(F.to_json(F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(block))))).alias("block"), F.lit(kind).alias("kind"), F.coalesce(F.col(line).cast("bigint"), F.lit(0)).alias("line"), F.col(id_).cast("bigint").alias("id")
+    )
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts, free = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks = batch.column("block")
+            kind, line, ids = (batch.column(c).to_numpy() for c in ("kind", "line", "id"))
+            changed = pc.not_equal(blocks.slice(1), blocks.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+            found = []
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                if (here := blocks[a].as_py()) != block:
+                    block, parts, free = here, [], None
+                if not here:
+                    continue
+                m = a + int(np.count_nonzero(kind[a:z] == 0))
+                if m > a:
+                    parts.append((line[a:m].copy(), ids[a:m].copy()))
+                if m < z:
+                    if free is None:
+                        free, parts = _Free(parts, within), []
+                    found += [(i, r) for i, x in zip(ids[m:z].tolist(), line[m:z].tolist(), strict=True) if (r := free.take(x)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=pa.int64()) for k in (0, 1)], names=["l", "r"])
+
+    rows = own(rights, 0, right, right_line).unionByName(own(lefts, 1, left, left_line))
+    placed = rows.repartition(F.when(F.col("block") == "", F.col("id").cast("string")).otherwise(F.col("block"))).sortWithinPartitions("block", "kind", F.when(F.col("kind") == 0, F.col("line")), "id")
+    return placed.mapInArrow(assign, "l bigint, r bigint").select(F.col("l").alias(left), F.col("r").alias(right))
+
+
 def status_note(expected: Column, got: Column) -> Column:
     """over or under if a status claims too much or too little, null if it is fine."""
     latent = ["latent", "below-threshold", "unproven"]

@@ -10,6 +10,7 @@ from quarry.operators import leads as L
 from quarry.operators import scoring as S
 from quarry.plans.registry import query
 from quarry.sources.leads import LEADS_SQL, TRUTH_SQL, leads, truth
+from quarry.sources.scratch import saved
 
 
 def _q(s: str) -> str:
@@ -71,18 +72,17 @@ r AS (SELECT repo_id, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS gt_i
  UNION ALL SELECT repo_id, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, gt_id, pick FROM (SELECT g.repo_id, g.k, r.used, g.gt_id, list_filter(coalesce(g.ids, []::BIGINT[]), lambda x: NOT list_contains(r.used, x))[1] AS pick FROM r JOIN g ON g.repo_id = r.repo_id AND g.k = r.k + 1))"""
 
 
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
     base = lambda c: F.element_at(F.split(c, "/"), -1)
     t = truth(spark, d).select("repo_id", "gt_id", O.class_group(F.col("bug_class")).alias("class"), base("file").alias("name"), F.col("line").alias("gt_line"))
     c = _classed(spark, d).select("repo_id", "id", O.class_group(F.col("bug_class")).alias("class"), base("file").alias("name"), "line")
-    unpinned = F.coalesce("gt_line", F.lit(0)) * F.coalesce("line", F.lit(0)) == 0
-    return t.join(c, ["repo_id", "class", "name"]).where(unpinned | (F.abs(F.col("gt_line") - F.col("line")) <= 25)).select("gt_id", "id")
+    return L.greedy_line_assignment(t, c, ["repo_id", "class", "name"], "gt_id", "id", "gt_line", "line", 25)
 
 
 @query(f"{_ASSIGNED} SELECT gt_id, id FROM r WHERE id IS NOT NULL")
 def truth_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Each labelled bug takes the first lead that is free and fits in class, file and line."""
-    return L.greedy_assignment(_candidates(spark, d), "gt_id", "id")
+    return _assigned(spark, d)
 
 
 @query(f"""{_ASSIGNED}, m AS (SELECT t.repo_id, t.expected_status, r.id IS NOT NULL AS hit, l.status, l.confirmed FROM truth t JOIN r USING (gt_id) LEFT JOIN leads l ON l.id = r.id),
@@ -91,7 +91,7 @@ s AS (SELECT repo_id, (count(*) FILTER (hit))::BIGINT AS tp, (count(*) FILTER (N
 f AS (SELECT repo_id, count(*)::BIGINT AS fp FROM leads WHERE status = 'report-eligible' AND id NOT IN (SELECT id FROM r WHERE id IS NOT NULL) GROUP BY repo_id)
 SELECT repo_id, tp, fn, coalesce(fp, 0)::BIGINT AS fp, confirmed, over_escalated, under_escalated, CASE WHEN tp + coalesce(fp, 0) > 0 THEN tp::DOUBLE / (tp + coalesce(fp, 0)) END AS precision, tp::DOUBLE / (tp + fn) AS recall FROM s LEFT JOIN f USING (repo_id)""")
 def truth_scorecard(spark: SparkSession, d: str) -> DataFrame:
-    found = L.greedy_assignment(_candidates(spark, d), "gt_id", "id")
+    found = saved(_assigned(spark, d))
     own = leads(spark, d)
     m = truth(spark, d).select("repo_id", "gt_id", "expected_status").join(found, "gt_id", "left").join(own.select("id", "status", "confirmed"), "id", "left")
     hit, note = F.col("id").isNotNull(), L.status_note(F.col("expected_status"), F.col("status"))

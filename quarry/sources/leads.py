@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.sources.tables import _select, _shaped, table
+from quarry.sources.tables import _select, _shaped, spread, table
 
 TITLES = [
     "SQLi in login form", "Command injection via os.system", "OOB read in parser", "DoS: parser hang on long input", "Hardcoded JWT secret", "Path traversal in download", "Zip slip on extract", "SSRF to metadata host",
@@ -42,7 +42,7 @@ TRUTH_SQL = f"truth AS (SELECT {_select(TRUTH)} FROM supplier)"
 
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shaped(table(spark, sf_dir, "part"), LEAD)
+    return _shaped(spread(table(spark, sf_dir, "part")), LEAD)
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.sources.services import _pick
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 _K = "c_custkey"
 _V = f"CAST({_K} % 9 AS STRING)"
@@ -57,7 +57,7 @@ PROJECTS_SQL = f"projects AS (SELECT {_SHAPE} FROM (SELECT *, unnest([0, 1, 2])
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(project, j, path, content)``."""
-    return table(spark, sf_dir, "customer").selectExpr("*", "explode(array(0, 1, 2)) AS j").selectExpr(*(f"{e} AS {c}" for c, e in PROJECT.items()))
+    return spread(table(spark, sf_dir, "customer")).selectExpr("*", "explode(array(0, 1, 2)) AS j").selectExpr(*(f"{e} AS {c}" for c, e in PROJECT.items()))
 
 
 #: Roots of captured packages, as a snapshot has them: none, one or two for a name. Spark and DuckDB read this alike.
@@ -69,4 +69,4 @@ ROOTS_SQL = f"roots AS (SELECT {', '.join(f'{e} AS {c}' for c, e in ROOT.items()
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(project, name, version, root)``."""
-    return table(spark, sf_dir, "customer").selectExpr("*", "explode(array(0, 1, 2, 8, 16)) AS r").selectExpr(*(f"{e} AS {c}" for c, e in ROOT.items()))
+    return spread(table(spark, sf_dir, "customer")).selectExpr("*", "explode(array(0, 1, 2, 8, 16)) AS r").selectExpr(*(f"{e} AS {c}" for c, e in ROOT.items()))

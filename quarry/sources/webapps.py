@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.sources.services import _pick
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 _K = "c_custkey"
 _FILL = "repeat(concat('    x = 1', chr(10)), CAST({} AS INT))"
@@ -68,4 +68,4 @@ WEBAPPS_SQL = f"webapps AS (SELECT {', '.join(f'{e} AS {c}' for c, e in WEBAPP.i
 
 def webapps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, file_id, kind, content)``; files of different numbers may have the same path."""
-    return table(spark, sf_dir, "customer").selectExpr(*(f"{e} AS {c}" for c, e in WEBAPP.items()))
+    return spread(table(spark, sf_dir, "customer")).selectExpr(*(f"{e} AS {c}" for c, e in WEBAPP.items()))
