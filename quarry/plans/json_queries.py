@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.plans.registry import query
 from quarry.sources import json_tree as T
-from quarry.sources.tables import table
+from quarry.sources.tables import spread, table
 
 _B = "chr(92)"
 #: Documents as a store holds them, from events: null, empty, malformed, lists
@@ -33,7 +33,7 @@ n AS (SELECT *, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array'
 
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").selectExpr("event_id", f"{STORED} AS doc")
+    return spread(table(spark, d, "events")).selectExpr("event_id", f"{STORED} AS doc")
 
 
 @query(f"""{_TREE_SQL} SELECT event_id, path, depth::INT AS depth, name, kind, atom FROM n
