@@ -230,7 +230,7 @@ def search(
     """
     numbered = written(queries.select(F.col(query_id).alias("query_id"), F.col(query_text).cast("binary").alias("text"), F.monotonically_increasing_id().alias("query")))
     n_docs, all_terms = corpus_size(docs, text_col)
-    index = written(build(docs, n_docs, all_terms, id_col=id_col, text_col=text_col))
+    index = written(build(docs, n_docs, all_terms, id_col=id_col, text_col=text_col), large_rows=True)
     merged = docs.sparkSession.createDataFrame([], "query bigint, doc_id bigint, score bigint")
     for block, terms in _query_blocks(numbered.where("text is not null").select("query", "text"), block_terms):
         df = document_frequencies(index, terms)
