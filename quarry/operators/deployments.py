@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.arrays import bound
 from quarry.functions.canonical import digest
 from quarry.operators.leads import confidence_label
 from quarry.sources.json_tree import route_values
@@ -23,13 +24,19 @@ def normal_path(value: Column) -> Column:
     """A route's path in one spelling, null if it is none: not beginning with a
     slash, over 256 characters, with dots upwards, templates or marks of other
     languages in it, or a source file. Scheme and host, query and fragment go."""
-    raw = F.btrim(F.coalesce(value, F.lit("")), F.lit(" \t\n\r\x0b\x0c"))
-    hosted = raw.rlike(r"^https?://")
-    bare = F.when(hosted, F.coalesce(F.nullif(F.regexp_extract(raw, r"^https?://[^/?#]*([^?#]*)", 1), F.lit("")), F.lit("/"))).otherwise(raw)
-    path = F.regexp_replace(F.substring_index(F.substring_index(bare, "?", 1), "#", 1), "/+", "/")
-    trimmed = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/$", ""))
-    refused = (raw == "") | (F.length(raw) > 256) | ~F.startswith(bare, F.lit("/")) | F.contains(trimmed, F.lit("..")) | trimmed.rlike(r"""[{}\[\];|&$`\\"'\n\r]""") | F.regexp_extract(trimmed, r"([^/]*)$", 1).rlike(SOURCE_SUFFIX)
-    return F.when(~refused, trimmed)
+    def bare(raw: Column) -> Column:
+        return F.when(raw.rlike(r"^https?://"), F.coalesce(F.nullif(F.regexp_extract(raw, r"^https?://[^/?#]*([^?#]*)", 1), F.lit("")), F.lit("/"))).otherwise(raw)
+
+    def trimmed(own: Column) -> Column:
+        path = F.regexp_replace(F.substring_index(F.substring_index(own, "?", 1), "#", 1), "/+", "/")
+        return F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
+
+    def kept(raw: Column, own: Column, path: Column) -> Column:
+        refused = (raw == "") | (F.length(raw) > 256) | ~F.startswith(own, F.lit("/")) | F.contains(path, F.lit("..")) | path.rlike(r"""[{}\[\];|&$`\\"'\n\r]""") | F.regexp_extract(path, r"([^/]*)$", 1).rlike(SOURCE_SUFFIX)
+        return F.when(~refused, path)
+
+    # each step once, however often the next one names it
+    return bound(F.btrim(F.coalesce(value, F.lit("")), F.lit(" \t\n\r\x0b\x0c")), lambda raw: bound(bare(raw), lambda own: bound(trimmed(own), lambda path: kept(raw, own, path))))
 
 
 def static_signatures(df: DataFrame, key: str, text: str) -> DataFrame:
