@@ -23,7 +23,7 @@ from quarry.llm.common import bounded_batches, byte_slices, give_back, ranked, w
 END = 2
 _KEPT = 1_000_000  # spellings after which a task forgets and starts anew: about 30 MB
 _LONG = 64  # characters; longer spellings are not remembered
-_BLOCK = 1 << 20  # characters handled at once
+_BLOCK = 1 << 18  # characters handled at once
 _FAR = 1 << 22  # characters without white space from which a text is no longer cut by it
 _CUT = re.compile(r"(?<=\S)(?=[ \n\r\t])")  # white space after anything else starts a pre-token
 #: Letters and marks whose pre-tokens are plain to see. The apostrophe, which starts contractions, is not among them.
@@ -61,7 +61,7 @@ class Encoder:
     digits and marks meet. Texts are cut there by array operations over many
     texts at once; a word with anything else in it (other scripts, apostrophes, other
     white space) stays whole. Each part is looked up by a 64-bit hash of its
-    characters. A text is handled a megabyte at a time, cut where white space
+    characters. A text is handled 256 KB at a time, cut where white space
     begins; one without any for four million characters goes to the compiled transducer. New parts go to the tokenizer, many in one string, whose ids
     are dealt out by the bytes that each stands for: plain ones to its model
     alone, since they are single pre-tokens, the others to all of it.
@@ -281,7 +281,7 @@ def pieces_of(ids: bytes, size: int) -> list[tuple[int, int]]:
 
 def tokenised(docs: DataFrame, tokenizer_path: str, size: int, with_ids: bool) -> DataFrame:
     """``docs(id, text)`` -> a row a piece: ``(id, piece, start, length,
-    ids_crc32)`` and, on request, the ids. Texts are taken a few megabytes at a
+    ids_crc32)`` and, on request, the ids. Texts are taken a megabyte at a
     time; a worker drops its encoder when its task ends."""
     more = ", ids array<bigint>" if with_ids else ""
     schema = f"id {docs.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint{more}"
@@ -291,7 +291,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, size: int, with_ids: bool) -
         encoder = Encoder(tokenizer_path)
         try:
             for batch in batches:
-                for some in byte_slices(batch, "text"):
+                for some in byte_slices(batch, "text", 1 << 20):
                     encoded = [x + end for x in encoder.encode_default([t or "" for t in some.column("text").to_pylist()])]
                     rows = [(i, k, start, n) for i, ids in enumerate(encoded) for k, (start, n) in enumerate(pieces_of(ids, size))]
                     i, k, start, n = np.asarray(rows, dtype=np.int64).reshape(-1, 4).T
