@@ -64,13 +64,18 @@ def unchecked_fetches(files: DataFrame, key: list[str], kind: str = "kind", cont
     folders = F.transform(F.split(F.col("path"), "/"), F.lower)
     low = F.lower(content)
     own = files.where(F.col(kind).isin(list(FETCH)) & ~F.arrays_overlap(folders, F.array(*map(F.lit, NO_HANDLERS))) & _any(low, HINTS))
-    of = lambda table, test: reduce(lambda c, k: c.when(F.col(kind) == k, test(table[k])), table, F.when(F.lit(False), False))
-    t, lt = F.col("line_text"), F.lower("line_text")
+    t, lt = F.col("line_text"), F.col("low")
     defines = F.contains(t, F.lit("def ")) | F.contains(t, F.lit("function")) | t.rlike(r"=>\s*\{|\)\s*=>")
-    flags = X.lines(own, content).select(
-        *key, "path", kind, "line", of(FETCH, lambda p: t.rlike(p)).alias("fetch"), of(INPUT, lambda w: _any(lt, w)).alias("input"), (of(CHECKS, lambda w: _any(lt, w)) | _any(lt, SIGNED)).alias("check"),
-        F.when(defines, of(REQUEST, lambda w: F.contains(lt, F.lit(w)))).alias("asks"),
-    ).where(F.col("fetch") | F.col("input") | F.col("check") | F.col("asks").isNotNull())
+
+    def flagged(k: str) -> DataFrame:
+        """Of one language: a line is lower-cased once and asked for that language's tokens only."""
+        said = X.lines(own.where(F.col(kind) == k), content).withColumn("low", F.lower("line_text"))
+        flags = said.select(
+            *key, "path", "line", t.rlike(FETCH[k]).alias("fetch"), _any(lt, INPUT[k]).alias("input"), (_any(lt, CHECKS[k]) | _any(lt, SIGNED)).alias("check"), F.when(defines, F.contains(lt, F.lit(REQUEST[k]))).alias("asks")
+        )
+        return flags.where(F.col("fetch") | F.col("input") | F.col("check") | F.col("asks").isNotNull())
+
+    flags = reduce(DataFrame.unionByName, map(flagged, FETCH))
     near = lambda frame: Window.partitionBy(*key).orderBy("line").rangeBetween(*frame)
     seen = flags.select(
         *key, "path", "line", "fetch", F.max("input").over(near(INPUT_FRAME)).alias("given"), F.max("check").over(near(CHECK_FRAME)).alias("checked"),
