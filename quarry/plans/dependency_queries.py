@@ -91,5 +91,6 @@ n AS (SELECT project, package, (40 + max(CASE WHEN risky_call <> '' THEN 10 ELSE
 SELECT n.project, n.package, r.root, n.score, (row_number() OVER (PARTITION BY n.project ORDER BY score DESC, n.package, root))::INT AS place FROM n JOIN r ON r.project = n.project AND r.name = n.package WHERE (n.project, n.package) IN (SELECT (project, package) FROM packages) QUALIFY place <= 2""")
 def dependency_audit_candidates(spark: SparkSession, d: str) -> DataFrame:
     files = saved(projects(spark, d))
-    bound = D.bound_sources(_packages(files), roots(spark, d), ["project"])
-    return D.audit_candidates(_usages(files), bound, ["project"], 2)
+    packages = saved(_packages(files))  # manifests are read once, for the uses and for the sources
+    bound = D.bound_sources(packages, roots(spark, d), ["project"])
+    return D.audit_candidates(D.usages(files.where("j > 0"), packages, ["project"]), bound, ["project"], 2)
