@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain, repeat
 
@@ -155,6 +155,7 @@ _FOUND = "struct<n_words:bigint,spans:array<struct<first:bigint,past:bigint>>,it
 _FOUND_ARROW = pa.struct(
     [("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))), ("items", pa.list_(pa.string()))]
 )
+_CLEAN = _FOUND[:-1] + ",clean:string>"
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -167,6 +168,63 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _found(rows: list[tuple[int, list[tuple[int, int]], set[str]]]) -> list[pa.Array]:
+    """n_words, spans and items of each row."""
+    spans, items = [r[1] for r in rows], [sorted(r[2]) for r in rows]
+    first, past = np.asarray([s for own in spans for s in own], dtype=np.int64).reshape(-1, 2).T
+    pairs = pa.StructArray.from_arrays([pa.array(first), pa.array(past)], names=["first", "past"])
+    names = pa.array([i for own in items for i in own], type=pa.string())
+    return [pa.array([r[0] for r in rows], type=pa.int64()), _lists(spans, pairs), _lists(items, names)]
+
+
+def _structs(texts: pa.Array, found: Callable[[pa.RecordBatch], list], cut: bool, *more: pa.Array) -> pa.Array:
+    """What is found in the texts, some megabytes at a time; ``cut``: and what the spans leave of each text that has any."""
+    names = ["n_words", "spans", "items", *(["clean"] if cut else [])]
+    batch = pa.RecordBatch.from_arrays([texts, *more], names=["text", *(f"more_{i}" for i in range(len(more)))])
+    parts = []
+    for some in byte_slices(batch, "text"):
+        rows = found(some)
+        own = _found(rows) + ([_cut(some.column("text"), [r[1] for r in rows])] if cut else [])
+        parts.append(pa.StructArray.from_arrays(own, names=names))
+    return pa.concat_arrays(parts) if parts else pa.array([], type=pa.struct([*_FOUND_ARROW, *([pa.field("clean", pa.string())] if cut else [])]))
+
+
+# Both functions are called not deterministic: else Spark moves a filter on what they return below the
+# projection and runs them for each, in workers of their own at the same time.
+
+
+def _matcher(held: Broadcast, text: Column, cut: bool) -> Column:
+    def found(some: pa.RecordBatch) -> list:
+        match = held.value.match
+        return [match(t.as_py()) for t in some.column("text")]
+
+    @F.arrow_udf(_CLEAN if cut else _FOUND)
+    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                yield _structs(texts, found, cut)
+        finally:
+            give_back()
+
+    return find.asNondeterministic()(text.cast("binary"))
+
+
+def _uniter(text: Column, passes: Column, cut: bool) -> Column:
+    def united(parts: list[dict]) -> tuple[int, list[tuple[int, int]], set[str]]:
+        spans = merged([(s["first"], s["past"]) for f in parts for s in f["spans"]])
+        return parts[0]["n_words"], spans, {i for f in parts for i in f["items"]}
+
+    @F.arrow_udf(_CLEAN if cut else _FOUND)
+    def unite(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        try:
+            for texts, found in batches:
+                yield _structs(texts, lambda some: [united(x.as_py()) for x in some.column(1)], cut, found)
+        finally:
+            give_back()
+
+    return unite.asNondeterministic()(text.cast("binary"), passes)
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> Iterator[list[tuple[str, bytes]]]:
     """Items in blocks of ``block_words`` words at most; a longer item comes in
     parts that overlap, so that every window is whole in one of them."""
@@ -189,45 +247,12 @@ def _lists(rows: list[list], values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), values)
 
 
-def _found(rows: list[tuple[int, list[tuple[int, int]], set[str]]]) -> pa.Array:
-    spans, items = [r[1] for r in rows], [sorted(r[2]) for r in rows]
-    first, past = np.asarray([s for own in spans for s in own], dtype=np.int64).reshape(-1, 2).T
-    pairs = pa.StructArray.from_arrays([pa.array(first), pa.array(past)], names=["first", "past"])
-    names = pa.array([i for own in items for i in own], type=pa.string())
-    return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], type=pa.int64()), _lists(spans, pairs), _lists(items, names)], names=["n_words", "spans", "items"])
-
-
-def _matcher(held: Broadcast, text: Column) -> Column:
-    def found(texts: pa.Array) -> pa.Array:
-        match = held.value.match
-        parts = [_found([match(t.as_py()) for t in some.column(0)]) for some in byte_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text")]
-        return pa.concat_arrays(parts) if parts else pa.array([], type=_FOUND_ARROW)
-
-    @F.arrow_udf(_FOUND)
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        try:
-            yield from map(found, batches)
-        finally:
-            give_back()
-
-    return find(text.cast("binary"))
-
-
-def _union(found: pa.Array) -> pa.Array:
-    rows = []
-    for parts in found:
-        parts = parts.as_py()
-        spans = merged([(s["first"], s["past"]) for f in parts for s in f["spans"]])
-        rows.append((parts[0]["n_words"], spans, {i for f in parts for i in f["items"]}))
-    return _found(rows)
-
-
 def with_matches(
-    docs: DataFrame, benchmark: DataFrame, out: str, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS
+    docs: DataFrame, benchmark: DataFrame, out: str, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_words: int = BLOCK_WORDS, cut: bool = False
 ) -> DataFrame:
     """``docs`` with a struct column ``out``: n_words, spans of words (merged,
     end exclusive) inside a window of an item, and those items' ids as sorted
-    strings.
+    strings. ``cut``: and ``clean``, the text without its spans, null if it has none.
 
     A benchmark of any size is matched: its items are taken in blocks of at
     most ``block_words`` words, each with an automaton of its own. If there is
@@ -244,18 +269,18 @@ def with_matches(
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
-        return docs.withColumn(out, _matcher(hold(first), F.col(text_col)))
+        return docs.withColumn(out, _matcher(hold(first), F.col(text_col), cut))
     row, own = fresh(docs, "match_row"), fresh(docs, "match_parts")
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
     passes = []
     for block in chain([first, second], blocks):
         held = hold(block)
-        hits = numbered.select(row, _matcher(held, F.col(text_col)).alias("m"))
+        hits = numbered.select(row, _matcher(held, F.col(text_col), False).alias("m"))
         # the first pass counts the words of every row
         passes.append(written(hits if not passes else hits.where(F.size("m.spans") > 0)))
         held.unpersist(blocking=True)
     whole = reduce(DataFrame.unionByName, passes).groupBy(row).agg(F.collect_list("m").alias(own))  # an entry a block at most
-    return numbered.join(whole, row).withColumn(out, F.arrow_udf(_union, _FOUND)(F.col(own))).drop(row, own)
+    return numbered.join(whole, row).withColumn(out, _uniter(F.col(text_col), F.col(own), cut)).drop(row, own)
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -269,21 +294,9 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
-def _cut_all(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    try:
-        for texts, found in batches:
-            yield _cut(texts, found)
-    finally:
-        give_back()
-
-
-def _cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-    out = []
-    for some in byte_slices(pa.RecordBatch.from_arrays([texts, found], names=["text", "spans"]), "text"):
-        rows = zip(some.column("text"), some.column("spans"), strict=True)
-        kept = [t.as_py() if not f else without_spans(t.as_py(), [(s["first"], s["past"]) for s in f]) for t, f in ((t, f.as_py()) for t, f in rows)]
-        out.append(pa.array(kept, type=pa.binary()).cast(pa.string()))
-    return pa.concat_arrays(out) if out else pa.array([], type=pa.string())
+def _cut(texts: pa.Array, spans: list[list[tuple[int, int]]]) -> pa.Array:
+    """The texts without their spans, null for one that has none."""
+    return pa.array([without_spans(t.as_py(), own) if own else None for t, own in zip(texts, spans, strict=True)], type=pa.binary()).cast(pa.string())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", max_coverage: float = 0.5, window: int = 10, **names: object) -> DataFrame:
@@ -295,7 +308,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     """
     m = fresh(docs, "match")
     hit = F.aggregate(F.col(m)["spans"], F.lit(0).cast("long"), lambda n, s: n + s["past"] - s["first"])
-    found = with_matches(docs, benchmark, m, text_col=text_col, window=window, **names)
+    found = with_matches(docs, benchmark, m, text_col=text_col, window=window, cut=True, **names)
     kept = found.where(hit <= max_coverage * F.col(m)["n_words"])
-    clean = F.when(F.size(F.col(m)["spans"]) > 0, F.arrow_udf(_cut_all, "string")(F.col(text_col).cast("binary"), F.col(m)["spans"])).otherwise(F.col(text_col))
+    clean = F.coalesce(F.col(m)["clean"], F.col(text_col))
     return kept.withColumn(text_col, clean).select(*docs.columns)

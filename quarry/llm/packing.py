@@ -379,9 +379,9 @@ def pack(
     made = tokenised(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), tokenizer_path, size, with_ids)
     pieces = written(made.withColumn("row", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    slots = spark.createDataFrame(
-        plan(histogram, size), "slot_length bigint, first_rank bigint, past_rank bigint, first_bin bigint, per_bin bigint, slot_offset bigint"
-    )
+    columns = np.array(plan(histogram, size), dtype=np.int64).reshape(-1, 6).T
+    # as an Arrow table: of a list Spark makes an RDD that Python workers of another kind read, which stay beside the others
+    slots = spark.createDataFrame(pa.table(dict(zip(("slot_length", "first_rank", "past_rank", "first_bin", "per_bin", "slot_offset"), map(pa.array, columns), strict=True))))
     placed = ranked(pieces, "length", ["row"], "rank", sum(histogram.values()))
     here = (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("past_rank"))
     nth = F.col("rank") - F.col("first_rank")
