@@ -20,6 +20,8 @@ IMPORTS = [
     r"(?m)^\s*(?:from|import)\s+([a-zA-Z0-9_]+)", r"(?m)^\s*import\s+([a-zA-Z0-9_]+)", r"""require\(\s*['"]([a-zA-Z0-9_@/.-]+)['"]\s*\)""", r"""from\s+['"]([a-zA-Z0-9_@/.-]+)['"]""",
     r"""(?:require|require_relative|gem)\s+['"]([a-zA-Z0-9_/-]+)['"]""", r"""(?m)^\s*"([a-zA-Z0-9._/-]+)"\s*$""", r"""(?m)^\s*import\s+(?:\w+\s+)?"([a-zA-Z0-9._/-]+)\"""",
 ]
+#: Of each, what a text must have one of to match: plain searches are a small part of a regex's time.
+IMPORT_SIGNS = [["from", "import"], ["import"], ["require"], ["from"], ["require", "gem"], ['"'], ["import"]]
 #: Risky calls of packages, in this order. Fixed values.
 RISKY = {
     "yaml": [r"yaml\.(load|unsafe_load)\s*\(", r"YAML\.load\b", r"Psych\.load\b"], "pyyaml": [r"yaml\.(load|unsafe_load)\s*\("], "pickle": [r"pickle\.loads?\s*\("], "marshal": [r"marshal\.loads?\s*\("],
@@ -32,6 +34,8 @@ RISKY = {
 TAINT = (
     r"\bsys\.argv\b|\bprocess\.argv\b|\bARGV\b|\bENV\[|\bos\.environ\b|\brequest\.(args|form|json|data|files|GET|POST|params|query)\b|\bparams\[|\bflask\.request\b|\bexpress\.request\b|\bctx\.(query|body|params)\b|\binput\s*\(|\bgets\b|\breadline\b"
 )
+#: What a text must have one of to match it.
+TAINT_SIGNS = ["argv", "ARGV", "ENV[", "os.environ", "request", "params[", "ctx.", "input", "gets", "readline"]
 #: Lines before and after an import that are looked at; suffixes whose imports can't be read; scores by risk. Fixed values.
 BEFORE, AFTER = 24, 40
 UNREAD = [".java", ".php", ".rs"]
@@ -110,11 +114,22 @@ def _prefixes(name: Column) -> Column:
     return F.concat(F.array(name), F.transform(ends, lambda i: F.substring(name, F.lit(1), i - 1)))
 
 
-def _risky(norm: Column, package: Column, window: Column) -> Column:
-    """The text of the first risky call of a package that has the name in its own, '' if none."""
-    named = lambda hint: F.contains(norm, F.lit(hint)) | F.contains(package_key(package), F.lit(hint))
-    calls = F.array(*(F.when(named(hint), F.regexp_extract(window, f"({p})", 1)) for hint, patterns in RISKY.items() for p in patterns))
-    return F.substring(F.coalesce(F.get(F.filter(calls, lambda x: x != ""), F.lit(0)), F.lit("")), 1, 100)
+def _any_of(text: Column, signs: list[str]) -> Column:
+    return reduce(Column.__or__, (F.contains(text, F.lit(x)) for x in signs))
+
+
+def _imports(content: Column) -> Column:
+    """An array of (raw, line): what each pattern matches, in order of the patterns. What a text can't match isn't run on it."""
+    none = F.array().cast("array<struct<raw:string,line:int>>")
+    sites = lambda p: F.arrays_zip(F.regexp_extract_all(content, F.lit(p), F.lit(1)).alias("raw"), match_lines(content, p).alias("line"))
+    return F.concat(*(F.when(_any_of(content, signs) & content.rlike(p), sites(p)).otherwise(none) for p, signs in zip(IMPORTS, IMPORT_SIGNS, strict=True)))
+
+
+def _risky(names: Column, window: Column) -> Column:
+    """The text of the first risky call of a package that has the hint in its names, '' if none.
+    The first of an ordinary chain, not of an array: Spark's functions on arrays compute it entry by entry without compiling it."""
+    calls = (F.when(F.contains(names, F.lit(hint)), F.nullif(F.regexp_extract(window, f"({p})", 1), F.lit(""))) for hint, patterns in RISKY.items() for p in patterns)
+    return F.substring(F.coalesce(*calls, F.lit("")), 1, 100)
 
 
 def usages(files: DataFrame, packages: DataFrame, key: list[str], content: str = "content") -> DataFrame:
@@ -134,8 +149,7 @@ def usages(files: DataFrame, packages: DataFrame, key: list[str], content: str =
     index = saved(both.groupBy(*key, "norm").agg(F.max("package").alias("package")))  # read twice, and what it is made of is long
     suffix = F.regexp_extract("path", r"(\.[^./]+)$", 1)
     own = files.where(F.col(content).isNotNull() & ~suffix.isin(UNREAD)).withColumn("ls", F.split(content, "\n"))
-    sites = F.concat(*(F.arrays_zip(F.regexp_extract_all(content, F.lit(p), F.lit(1)).alias("raw"), match_lines(F.col(content), p).alias("line")) for p in IMPORTS))
-    found = own.select(*key, "path", F.explode(F.array_distinct(sites)).alias("s")).select(*key, "path", package_key(F.col("s.raw")).alias("raw"), F.col("s.line").alias("line"))
+    found = own.select(*key, "path", F.explode(F.array_distinct(_imports(F.col(content)))).alias("s")).select(*key, "path", package_key(F.col("s.raw")).alias("raw"), F.col("s.line").alias("line"))
     first = saved(found.groupBy(*key, "path", "raw").agg(F.min("line").alias("line")))
     tried = first.select("*", F.explode(F.array_distinct(_prefixes(F.col("raw")))).alias("norm"))
     best = saved(tried.join(index, [*key, "norm"]).groupBy(*key, "path", "raw", "line").agg(F.max_by(F.struct("norm", "package"), F.length("norm")).alias("m")))
@@ -144,14 +158,15 @@ def usages(files: DataFrame, packages: DataFrame, key: list[str], content: str =
     matched = best.select(*key, "path", "line", F.col("m.norm").alias("norm")).unionByName(loose)
     hints = F.array_compact(F.array(*(F.when(reduce(Column.__or__, (F.col(content).rlike(p) for p in patterns)), F.lit(h)) for h, patterns in RISKY.items())))
     silent = own.join(matched.select(*key, "path").distinct(), [*key, "path"], "left_anti").select(*key, "path", F.lit(0).alias("line"), F.explode(hints).alias("norm"))
-    named_ = matched.unionByName(silent).groupBy(*key, "path", "norm").agg(F.min("line").alias("line")).join(index, [*key, "norm"], "left").withColumn("package", F.coalesce("package", "norm"))
+    names = F.concat_ws("\0", "norm", package_key(F.col("package")))  # hints have no such character
+    named_ = matched.unionByName(silent).groupBy(*key, "path", "norm").agg(F.min("line").alias("line")).join(index, [*key, "norm"], "left").withColumn("package", F.coalesce("package", "norm")).withColumn("names", names)
     low = lambda s: F.translate(F.lower(s), "-", "_")
     there = F.array_position(F.transform("ls", lambda s: F.contains(low(s), F.col("norm")) | F.contains(F.lower(s), F.lower("package"))), True)
     placed = own.join(named_, [*key, "path"]).withColumn("line", F.when(F.col("line") > 0, F.col("line")).otherwise(F.greatest(there, F.lit(1))).cast("int"))
     start = F.greatest(F.col("line") - BEFORE, F.lit(1))
     window = F.array_join(F.slice("ls", start, F.col("line") + AFTER + 1 - start), "\n")
-    seen = placed.select(*key, "path", "line", "package", F.col("norm").alias("import_name"), window.alias("w"))
-    said = seen.select(*key, "path", "line", "package", "import_name", F.col("w").rlike(TAINT).alias("near_input"), _risky(F.col("import_name"), F.col("package"), F.col("w")).alias("risky_call"))
+    seen = placed.select(*key, "path", "line", "package", F.col("norm").alias("import_name"), "names", window.alias("w"))
+    said = seen.select(*key, "path", "line", "package", "import_name", (_any_of(F.col("w"), TAINT_SIGNS) & F.col("w").rlike(TAINT)).alias("near_input"), _risky(F.col("names"), F.col("w")).alias("risky_call"))
     risk = F.when(F.col("near_input") & (F.col("risky_call") != ""), "critical").when(F.col("near_input"), "high").when(F.col("risky_call") != "", "medium").otherwise("low")
     # one row a package, file and line: the first import name
     return said.withColumn("risk", risk).groupBy(*key, "path", "line", "package").agg(F.min_by(F.struct("import_name", "near_input", "risky_call", "risk"), "import_name").alias("u")).select(*key, "path", "line", "package", "u.*")
